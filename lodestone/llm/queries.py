@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .line_dedup import OP6_SQL, op6_line_dedup
+from .minhash_dedup import op5_minhash_dedup
 from .packing import op8_packing
 from .training_order import op3_training_order
 
 QUERIES = {
     "op3_training_order": op3_training_order,
+    "op5_minhash_dedup": op5_minhash_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op8_packing": op8_packing,
 }
