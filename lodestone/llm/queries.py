@@ -5,14 +5,17 @@ from __future__ import annotations
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .minhash_dedup import op5_minhash_dedup
 from .packing import op8_packing
+from .secret_scan import OP2_SQL, op2_secret_scan
 from .training_order import op3_training_order
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
     "op3_training_order": op3_training_order,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op8_packing": op8_packing,
 }
 ORACLE_SQL = {
+    "op2_secret_scan": OP2_SQL,
     "op6_line_dedup": OP6_SQL,
 }
