@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .language_id import op10_language_id
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .minhash_dedup import op5_minhash_dedup
 from .packing import op8_packing
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op8_packing": op8_packing,
+    "op10_language_id": op10_language_id,
 }
 ORACLE_SQL = {
     "op2_secret_scan": OP2_SQL,
