@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from .decontaminate import op7_decontamination
 from .language_id import op10_language_id
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .minhash_dedup import op5_minhash_dedup
 from .packing import op8_packing
+from .quality import op4_quality
 from .secret_scan import OP2_SQL, op2_secret_scan
 from .training_order import op3_training_order
 
 QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_training_order": op3_training_order,
+    "op4_quality": op4_quality,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op7_decontamination": op7_decontamination,
     "op8_packing": op8_packing,
     "op10_language_id": op10_language_id,
 }
