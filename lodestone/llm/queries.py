@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat_threads import OP9_SQL, op9_chat_threads
 from .decontaminate import op7_decontamination
 from .language_id import op10_language_id
 from .line_dedup import OP6_SQL, op6_line_dedup
@@ -19,9 +20,11 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_packing": op8_packing,
+    "op9_chat_threads": op9_chat_threads,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL = {
     "op2_secret_scan": OP2_SQL,
     "op6_line_dedup": OP6_SQL,
+    "op9_chat_threads": OP9_SQL,
 }
