@@ -10,10 +10,10 @@ Every coordinate is filled after 2t rounds at the latest, and the share of equal
 similarity with the concentration of t independent ones.
 
 Candidates share one of ``bands`` bands of ``rows`` coordinates (at similarity 0.8, 40 bands of 5 miss a pair with
-probability 2e-7).  In each band bucket all members are compared with the smallest id: a star, not all pairs.
-Links are confirmed on full sets and give components.  Buckets that still hold several components then have their remaining pairs
-compared by sketch, in blocks of 256 x 256 members over separate tasks; pairs whose sketches agree within
-five standard deviations of the threshold are confirmed on full sets as well.  Nothing is capped.
+probability 2e-7).  In each band bucket all members are compared, on full sets, with the smallest id: a star, not all
+pairs.  Links give components.  Where the members of a star are in several components, their pairs are compared as
+well: in blocks of BLOCK x BLOCK members over separate tasks, from what each member's set differs by from the star's centre, which
+settles them exactly; only links that join components leave a task.  Nothing is capped.
 
 Null texts and texts without words have an empty set and are linked with nothing.  Repeated rows of one id share that id's
 class.  The result is empty for an empty table.
@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import M64, SLICE_BYTES, cut, map_texts, mix, shingle_sets
+from .base import M64, cut, map_texts, mix, shingle_sets, slices
 
-BLOCK = 256
+BLOCK = 512
 _EMPTY = np.uint64(M64)
 
 
@@ -66,7 +66,7 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, *, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """Id, ``n_shingles``, a 128-bit hash of the set (null if empty), band keys and the sketch's lower bytes."""
+    """Id, ``n_shingles``, a 128-bit hash of the set (null if empty), and band keys."""
     t = bands * rows
 
     def sign(texts: list[bytes], _: pa.RecordBatch) -> list:
@@ -78,16 +78,14 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, n: int, bands: in
         # rows of empty sets get no band keys
         ends = np.concatenate(([0], np.cumsum(np.where(empty, 0, bands)))).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[~empty].ravel()))
-        low = np.ascontiguousarray(sketch.astype(np.uint8))
         return [
             pa.array(sizes.astype(np.int64)),
             pa.array(_sums(mix(h ^ np.uint64(0xA5A5)), first), mask=empty),
             pa.array(_sums(mix(h ^ np.uint64(0x5A5A5A)), first), mask=empty),
             lists,
-            [row.tobytes() for row in low],
         ]
 
-    fields = [("n_shingles", T.LongType()), ("set_a", T.LongType()), ("set_b", T.LongType()), ("bands", T.ArrayType(T.LongType())), ("sketch", T.BinaryType())]
+    fields = [("n_shingles", T.LongType()), ("set_a", T.LongType()), ("set_b", T.LongType()), ("bands", T.ArrayType(T.LongType()))]
     return map_texts(docs, sign, fields, text_col=text_col, keep=[id_col])
 
 
@@ -102,35 +100,31 @@ def similar_enough(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (small + large - common)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose full sets are similar enough."""
+def compared(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """For pairs (a, b, many): ``linked`` (the full sets are similar enough), and where ``many`` the size of b's set
+    and the elements by which it differs from a's (``delta``)."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(ids, "id", "left_semi")
     texts = cut(texts, "compared")
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "many", "text_a", "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None, None)
-        for batch in batches:
-            left, right = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            ok, at = np.zeros(batch.num_rows, bool), 0
-            while at < batch.num_rows:
-                own, size, to = [], 0, at
-                while to < batch.num_rows and (to == at or size < SLICE_BYTES):
-                    own.append(batch.column("text_b")[to].as_py() or b"")
-                    size += len(own[-1])
-                    to += 1
-                h, first = shingle_sets(own, n)
-                for k in range(at, to):
-                    text = batch.column("text_a")[k].as_buffer() if last[0] == left[k] else None
-                    if text is None or len(text) != len(last[1]) or text.to_pybytes() != last[1]:
-                        text = batch.column("text_a")[k].as_py() or b""
-                        last = (left[k], text, shingle_sets([text], n)[0])
-                    ok[k] = similar_enough(last[2], h[first[k - at] : first[k - at + 1]], percent)
-                at = to
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, y in zip(left, ok, strict=True) if y], batch.column("a").type), pa.array([x for x, y in zip(right, ok, strict=True) if y], batch.column("b").type)], names=["a", "b"])
-
-    return both.mapInArrow(check, pairs.select("a", "b").schema)
+        for part in slices(batches, "text_b"):
+            h, first = shingle_sets([x or b"" for x in part.column("text_b").to_pylist()], n)
+            linked, size, delta = [], [], []
+            for k, (a, many) in enumerate(zip(part.column("a").to_pylist(), part.column("many").to_pylist(), strict=True)):
+                text = part.column("text_a")[k].as_buffer()
+                if a != last[0] or text is None or not text.equals(last[1]):
+                    last = (a, text, shingle_sets([part.column("text_a")[k].as_py() or b""], n)[0])
+                own = h[first[k] : first[k + 1]]
+                linked.append(similar_enough(last[2], own, percent))
+                size.append(len(own))
+                delta.append(np.setxor1d(last[2], own, assume_unique=True).tobytes() if many else None)
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(linked, pa.bool_()), pa.array(size, pa.int64()), pa.array(delta, pa.binary())], names=["a", "b", "linked", "size", "delta"])
+
+    fields = [T.StructField("linked", T.BooleanType()), T.StructField("size", T.LongType()), T.StructField("delta", T.BinaryType())]
+    return both.mapInArrow(check, T.StructType([pairs.schema["a"], pairs.schema["b"], *fields]))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -157,50 +151,81 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _remaining(members: DataFrame, labels: DataFrame, sketch: DataFrame, *, t: int, percent: int) -> DataFrame:
-    """Pairs (a, b) from buckets that hold several components, in different components and alike by sketch."""
-    named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2").select("key", "n")
-    rows = named.join(mixed, "key").join(sketch, "id")
-    blocks = F.expr(f"cast(ceil(n / {BLOCK}) as int)")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.expr("pmod(xxhash64(id), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1L)")))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "sketch")
-    p = percent / 100
-    least = (p - 5 * (p * (1 - p) / t) ** 0.5) * t
+def block_links(ids: np.ndarray, comp: np.ndarray, size: np.ndarray, delta: list[bytes], percent: int) -> list[tuple]:
+    """Pairs of members that are similar enough, as many as connect the components that such pairs connect.
+
+    ``delta`` holds each member's difference from one common set.  Two members differ by the difference of theirs, so
+    the matrix of common elements needs these only, and of them only those that two members have.
+    """
+    m = len(ids)
+    lengths = np.array([len(x) // 8 for x in delta], np.int64)
+    _, place, counts = np.unique(np.frombuffer(b"".join(delta), np.uint64), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), lengths)
+    often = counts[place] > 1
+    column = (np.cumsum(counts > 1) - 1)[place[often]]
+    owner = owner[often]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both = np.zeros((m, m), np.float32)
+    width = 2048
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, (low, low + width))
+        part = np.zeros((m, width), np.float32)
+        part[owner[a:b], column[a:b] - low] = 1
+        both += part @ part.T
+    apart = lengths[:, None] + lengths - 2 * both.astype(np.int64)
+    total = size[:, None] + size
+    names, label = np.unique(comp, return_inverse=True)
+    good = (100 * (total - apart) >= percent * (total + apart)) & (label[:, None] < label)
+    left, right = np.nonzero(good)
+    _, once = np.unique(label[left] * len(names) + label[right], return_index=True)
+    parent, out = list(range(len(names))), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for k in once.tolist():
+        x, y = root(int(label[left[k]])), root(int(label[right[k]]))
+        if x != y:
+            parent[x] = y
+            out.append((ids[left[k]], ids[right[k]]))
+    return out
+
+
+def _remaining(stars: DataFrame, labels: DataFrame, *, percent: int) -> DataFrame:
+    """Links (a, b) between members of one star that are in different components."""
+    named = stars.where("delta is not null").join(labels.withColumnRenamed("id", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
+    mixed = named.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("a", "n")
+    rows = named.join(mixed, "a").withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as bigint)"))
+    rows = rows.withColumn("own", F.expr("pmod(xxhash64(b), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1L)")))
+    rows = rows.select("a", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "b", "component", "size", "delta")
+    kind = rows.schema["b"].dataType.simpleString()
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), t)
-        ids, comp, own = pdf["id"].to_numpy(), pdf["component"].to_numpy(), pdf["own"].to_numpy()
-        one = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        out = []
-        for k in range(len(pdf)):
-            rest = np.flatnonzero((comp != comp[k]) & (ids > ids[k]) & (one | (own != own[k])))
-            good = rest[(s[rest] == s[k]).sum(1) >= least]
-            out += [(ids[k], ids[g]) for g in good]
+        ids = pdf["b"].to_numpy()
+        out = block_links(ids, pdf["component"].to_numpy(), pdf["size"].to_numpy(), pdf["delta"].tolist(), percent)
         return pd.DataFrame(out, columns=["a", "b"]).astype(ids.dtype)
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.groupBy("key", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
+    return rows.groupBy("a", "i", "j").applyInPandas(compare, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, bands: int = 40, rows: int = 5) -> DataFrame:
     """Per document: the id, ``n_shingles``, ``component_id`` and ``kept`` (the id is its component's smallest)."""
-    how = {"id_col": id_col, "text_col": text_col, "n": n}
-    sig = cut(signatures(docs, **how, bands=bands, rows=rows), "signatures").withColumnRenamed(id_col, "id")
+    sig = cut(signatures(docs, id_col=id_col, text_col=text_col, n=n, bands=bands, rows=rows), "signatures").withColumnRenamed(id_col, "id")
     some = sig.where("n_shingles > 0")
     classes = cut(some.groupBy("set_a", "set_b").agg(F.min("id").alias("id")), "classes")
-    reps = some.select("id", "bands", "sketch").join(classes.select("id"), "id", "left_semi")
-    keyed = reps.select("id", F.explode("bands").alias("key"))
+    keyed = some.select("id", "bands").join(classes.select("id"), "id", "left_semi").select("id", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key", "a")
-    members = cut(keyed.join(shared, "key").select("key", "id", "a"), "buckets")
-    stars = cut(members.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "stars")
-    links = cut(verified(stars, docs, **how, percent=percent), "links")
+    pairs = cut(keyed.join(shared, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct(), "stars")
+    many = pairs.groupBy("a").agg((F.count("*") > 1).alias("many"))
+    stars = cut(compared(pairs.join(many, "a"), docs, id_col=id_col, text_col=text_col, n=n, percent=percent), "stars")
+    links = stars.where("linked").select("a", "b")
     labels = components(links)
-    more = cut(_remaining(members.select("key", "id"), labels, reps.select("id", "sketch"), t=bands * rows, percent=percent).join(stars, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        found = cut(verified(more, docs, **how, percent=percent), "links")
-        if not found.isEmpty():
-            labels = components(links.union(found))
+    found = cut(_remaining(stars, labels, percent=percent), "links")
+    if not found.isEmpty():
+        labels = components(links.union(found))
     named = classes.join(labels, "id", "left").select("set_a", "set_b", F.coalesce("component", "id").alias("component_id"))
     out = sig.select("id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
