@@ -1,0 +1 @@
+"""Streams: debounced change events and incremental indexing."""
