@@ -112,22 +112,33 @@ def _suspected(digests: list[bytes], packed: np.ndarray) -> list[bytes]:
     return [digests[i] for i in np.flatnonzero(hit)]
 
 
-def hot_keys(docs: DataFrame, *, text_col: str, min_docs: int, min_chars: int, bits: int) -> tuple[DataFrame, object]:
-    """Digests of the keys that at least ``min_docs`` documents have, written; and the broadcast filter."""
+def hot_keys(docs: DataFrame, *, id_col: str, text_col: str, min_docs: int, min_chars: int, bits: int) -> tuple[DataFrame, object]:
+    """(key, first): digests of the keys that at least ``min_docs`` documents have, with the smallest id; and the broadcast filter."""
     spark = docs.sparkSession
     packed = spark.sparkContext.broadcast(twice_seen(docs, text_col=text_col, min_chars=min_chars, bits=bits))
-    source = docs.select(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias(TEXT))
+    source = _picked(docs, id_col, text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
+        first: dict[bytes, object] = {}
         for batch in batches:
-            for t in batch.column(TEXT):
-                seen.update(_suspected(list(_digests(t.as_py(), min_chars)), packed.value))
+            kind = batch.column("id").type
+            for doc, t in zip(batch.column("id").to_pylist(), batch.column(TEXT), strict=True):
+                for key in _suspected(list(_digests(t.as_py(), min_chars)), packed.value):
+                    seen[key] += 1
+                    old = first.get(key)
+                    if old is None or doc is not None and doc < old:
+                        first[key] = doc
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64()), pa.array([first[k] for k in seen], kind)], names=["key", "n", "first"])
+
+    schema = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("first", source.schema["id"].dataType)])
+    counted = source.mapInArrow(count, schema).groupBy("key").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    return cut(counted.where(F.col("n") >= min_docs).select("key", "first"), "hot-lines"), packed
 
-    counted = source.mapInArrow(count, "key binary, n long")
-    return cut(counted.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("key"), "hot-lines"), packed
+
+def _picked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias(TEXT))
 
 
 def drop_common_lines(
@@ -145,21 +156,22 @@ def drop_common_lines(
     """Kept columns, ``text`` without the lines of common keys, ``n_lines`` and ``n_dropped``.
 
     A key is common if at least ``min_docs`` documents have it.  With ``keep_first`` the document of the smallest id
-    keeps its first line of each common key.  The set of common keys is broadcast up to ``broadcast_bytes``; a larger one is
-    joined to the suspected lines instead, and each document then carries only its own common keys.
+    keeps its first line of each common key.  The common keys are broadcast up to ``broadcast_bytes`` (at 40 bytes a key); more
+    of them are joined to the suspected lines instead, and each document then carries only its own common keys.
     """
     spark = docs.sparkSession
-    hot, packed = hot_keys(docs, text_col=text_col, min_docs=min_docs, min_chars=min_chars, bits=bits)
+    hot, packed = hot_keys(docs, id_col=id_col, text_col=text_col, min_docs=min_docs, min_chars=min_chars, bits=bits)
     fields = [("text", T.StringType()), ("n_lines", T.LongType()), ("n_dropped", T.LongType())]
 
-    def strip(text: bytes, common: set[bytes], own: set[bytes]) -> tuple[bytes, int, int]:
-        lines, out = text.split(b"\n"), []
+    def strip(text: bytes, common, doc: object) -> tuple[bytes, int, int]:
+        """``common`` gives each common key's first document."""
+        lines, out, used = text.split(b"\n"), [], set()
         for line in lines:
             key = line_key(line)
             if key and _long_enough(key, min_chars) and (d := xxhash.xxh3_128_digest(key)) in common:
-                if d not in own:
+                if not keep_first or d in used or common[d] != doc:
                     continue
-                own.discard(d)
+                used.add(d)
             out.append(line)
         return b"\n".join(out), len(lines), len(lines) - len(out)
 
@@ -167,9 +179,14 @@ def drop_common_lines(
         texts, n, dropped = zip(*rows, strict=True) if rows else ((), (), ())
         return [pa.array([t.decode("utf-8", "replace") for t in texts], pa.string()), list(n), list(dropped)]
 
-    if not keep_first and hot.count() * 16 <= broadcast_bytes:
-        common = spark.sparkContext.broadcast({bytes(r["key"]) for r in hot.toLocalIterator()})
-        return map_texts(docs, lambda texts, _: columns([strip(t, common.value, set()) for t in texts]), fields, text_col=text_col, keep=keep)
+    docs = docs.withColumn("__id", F.col(id_col))
+    if hot.count() * 40 <= broadcast_bytes:
+        common = spark.sparkContext.broadcast({bytes(r["key"]): r["first"] for r in hot.toLocalIterator()})
+
+        def apply(texts: list[bytes], batch: pa.RecordBatch) -> list:
+            return columns([strip(t, common.value, doc) for t, doc in zip(texts, batch.column("__id").to_pylist(), strict=True)])
+
+        return map_texts(docs, apply, fields, text_col=text_col, keep=[*keep, "__id"]).drop("__id")
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,18 +197,16 @@ def drop_common_lines(
                 keys += found
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column("id").type), pa.array(keys, pa.binary())], names=["id", "key"])
 
-    picked = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias(TEXT))
+    picked = _picked(docs, id_col, text_col)
     pairs = picked.mapInArrow(suspects, T.StructType([picked.schema["id"], T.StructField("key", T.BinaryType())]))
-    pairs = pairs.join(hot, "key")
-    first = pairs.groupBy("key").agg(F.min("id").alias("first_id"))
-    pairs = pairs.join(first, "key").groupBy("id").agg(F.collect_set("key").alias("__common"), F.collect_set(F.when(F.lit(keep_first) & (F.col("id") == F.col("first_id")), F.col("key"))).alias("__own"))
-    joined = docs.withColumn("__id", F.col(id_col)).join(pairs.withColumnRenamed("id", "__id"), "__id", "left")
+    own = pairs.join(hot, "key").groupBy("id").agg(F.collect_list("key").alias("__keys"), F.collect_list("first").alias("__first"))  # one document's lines
+    joined = docs.join(own.withColumnRenamed("id", "__own"), F.col("__id").eqNullSafe(F.col("__own")), "left")
 
-    def apply(texts: list[bytes], batch: pa.RecordBatch) -> list:
-        sets = [[{*(x or ())} for x in batch.column(c).to_pylist()] for c in ("__common", "__own")]
-        return columns([strip(t, c, o) for t, c, o in zip(texts, *sets, strict=True)])
+    def apply_own(texts: list[bytes], batch: pa.RecordBatch) -> list:
+        keys, first, ids = (batch.column(c).to_pylist() for c in ("__keys", "__first", "__id"))
+        return columns([strip(t, dict(zip(k or (), f or (), strict=True)), doc) for t, k, f, doc in zip(texts, keys, first, ids, strict=True)])
 
-    return map_texts(joined, apply, fields, text_col=text_col, keep=[*keep, "__common", "__own"]).drop("__common", "__own")
+    return map_texts(joined, apply_own, fields, text_col=text_col, keep=[*keep, "__id", "__keys", "__first"]).drop("__id", "__keys", "__first")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
