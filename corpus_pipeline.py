@@ -31,8 +31,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines of common keys; a document that loses all its text goes."""
-    left = drop_common_lines(docs, keep=COLUMNS, min_docs=COMMON_LINE_DOCS, min_chars=1)
+    """All documents, without lines of common keys but for the first document's; a document that loses all its text goes."""
+    left = drop_common_lines(docs, keep=COLUMNS, min_docs=COMMON_LINE_DOCS, min_chars=1, keep_first=True)
     left = left.where((F.col("n_dropped") == 0) | F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"))
     return left.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
 
