@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import TEXT, Words, map_texts, mix, powers, prefix_hash
+from .base import TEXT, Words, cut, map_texts, mix, powers, prefix_hash
 
 CHAIN = 64
 DOCS_PER_LANGUAGE = 250
@@ -205,7 +205,7 @@ def training_sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: st
                         break
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["lang", "place", "part"])
 
-    made = near.mapInArrow(chunks, "lang string, place long, part string").groupBy("lang", "place").agg(F.collect_list("part").alias("parts"))
+    made = cut(near.mapInArrow(chunks, "lang string, place long, part string").groupBy("lang", "place").agg(F.collect_list("part").alias("parts")), "sample")
     out = []
     for lang in sorted(counts):
         out += [(lang, p) for r in made.where(F.col("lang") == lang).orderBy("place").limit(DOCS_PER_LANGUAGE).collect() for p in r["parts"]]
