@@ -33,6 +33,8 @@ from pyspark.sql import types as T
 from .base import M64, cut, map_texts, mix, shingle_sets, slices
 
 BLOCK = 512
+FILTER_BITS = 1 << 27
+BITMAP = 32768  # bits of Spark's bitmap aggregate
 _EMPTY = np.uint64(M64)
 
 
@@ -100,12 +102,33 @@ def similar_enough(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (small + large - common)
 
 
+def likely(rows: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose ``id`` is in ``ids``, and few others: a filter of ``bits`` bits, built by bitmap aggregation and
+    broadcast, lets texts that nothing needs stay where they are.  With more ids it lets more rows through."""
+    spark = rows.sparkSession
+    place = lambda: F.pmod(F.xxhash64("id"), F.lit(bits))
+    maps = ids.select(place().alias("h")).groupBy(F.expr(f"h div {BITMAP}").alias("bucket")).agg(F.expr(f"bitmap_construct_agg(h % {BITMAP})").alias("map"))
+    packed = np.zeros(bits // 8, np.uint8)
+    for r in maps.toLocalIterator():  # bits / 8 bytes at most
+        packed[r["bucket"] * BITMAP // 8 : (r["bucket"] + 1) * BITMAP // 8] = np.frombuffer(r["map"], np.uint8)
+    known = spark.sparkContext.broadcast(packed)
+
+    columns, schema = rows.columns, rows.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(0).to_numpy()
+            hit = (known.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1
+            yield batch.filter(pa.array(hit.astype(bool))).select(columns)
+
+    return rows.select(place().alias("__place"), *columns).mapInArrow(run, schema)
+
+
 def compared(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """For pairs (a, b, many): ``linked`` (the full sets are similar enough), and where ``many`` the size of b's set
     and the elements by which it differs from a's (``delta``)."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(ids, "id", "left_semi")
-    texts = cut(texts, "compared")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    texts = cut(likely(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")), ids), "compared")
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "many", "text_a", "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,6 +224,7 @@ def _remaining(stars: DataFrame, labels: DataFrame, *, percent: int) -> DataFram
     rows = named.join(mixed, "a").withColumn("blocks", F.expr(f"cast(ceil(n / {BLOCK}) as bigint)"))
     rows = rows.withColumn("own", F.expr("pmod(xxhash64(b), blocks)")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1L)")))
     rows = rows.select("a", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "b", "component", "size", "delta")
+    rows = rows.repartition("a", "i", "j")  # else all blocks of a star stay where its rows were joined
     kind = rows.schema["b"].dataType.simpleString()
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
