@@ -10,9 +10,11 @@ from .minhash_dedup import op5_minhash_dedup
 from .packing import op8_packing
 from .quality import op4_quality
 from .secret_scan import OP2_SQL, op2_secret_scan
+from .suffix_dedup import op1_suffix_dedup
 from .training_order import op3_training_order
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_training_order": op3_training_order,
     "op4_quality": op4_quality,
