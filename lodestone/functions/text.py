@@ -120,12 +120,17 @@ def stem(w: str) -> str:
     return w
 
 
-def stemmed(terms: DataFrame, column: str = "term") -> DataFrame:
-    """``terms`` with each term's stem; the Python function sees only the distinct vocabulary."""
+def stemmed_column(words: DataFrame, column: str = "word") -> DataFrame:
+    """``words`` with a column ``stem``."""
 
     @F.pandas_udf("string")
-    def stems(words: pd.Series) -> pd.Series:
-        return words.map(stem)
+    def stems(values: pd.Series) -> pd.Series:
+        return values.map(stem)
+
+    return words.withColumn("stem", stems(column))
 
-    vocabulary = terms.select(column).distinct().withColumn("__stem", stems(column))
-    return terms.join(vocabulary, column).withColumn(column, F.col("__stem")).drop("__stem")
+
+def stemmed(terms: DataFrame, column: str = "term") -> DataFrame:
+    """``terms`` with each term's stem; the Python function sees only the distinct vocabulary."""
+    vocabulary = stemmed_column(terms.select(column).distinct(), column)
+    return terms.join(vocabulary, column).withColumn(column, F.col("stem")).drop("stem")

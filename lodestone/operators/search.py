@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lines import truncate
-from ..functions.text import query_phrases, stemmed, tokens
+from ..functions.text import query_phrases, stemmed, stemmed_column, tokens
 from ..functions.vectors import cosine, cosine_arrow
 from ..settings import LEAST_SNIPPET, MAX_PER_FILE, OVERFETCH, RESPONSE_CAP, RRF_K, SNIPPET_BUDGET
 
@@ -64,27 +64,82 @@ def phrase_counts(index: DataFrame, phrases: list[list[str]]) -> DataFrame:
     return out
 
 
+def word_forms(chunks: DataFrame, columns: list[str], stems: set[str]) -> dict[str, list[str]]:
+    """The corpus's words that have one of a query's stems, by stem.  Stems are taken of the distinct vocabulary only."""
+    words = chunks.select(F.explode(F.array_distinct(F.flatten(F.array(*(tokens(F.col(c), diacritics=True) for c in columns))))).alias("word")).distinct()
+    found = stemmed_column(words, "word").where(F.col("stem").isin(sorted(stems)))
+    out: dict[str, list[str]] = {}
+    for r in found.collect():  # the forms of a query's few stems
+        out.setdefault(r["stem"], []).append(r["word"])
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def phrase_frequency(lists: list[Column], phrase: list[list[str]]) -> Column:
+    """How often a phrase occurs in token lists; each of its places gives the words that fit there."""
+
+    def count(terms: Column) -> Column:
+        # the list stays outside the lambda, where it would be made again for each element
+        shifted = [terms if k == 0 else F.slice(terms, F.lit(k + 1), F.size(terms)) for k in range(len(phrase))]
+        rows = F.arrays_zip(*(t.alias(f"w{k}") for k, t in enumerate(shifted)))
+
+        def here(x: Column) -> Column:
+            out = x["w0"].isin(*phrase[0])
+            for k in range(1, len(phrase)):
+                out = out & x[f"w{k}"].isin(*phrase[k])
+            return out
+
+        return F.size(F.filter(terms, lambda x: x.isin(*phrase[0])) if len(phrase) == 1 else F.filter(rows, here))
+
+    return sum((count(t) for t in lists[1:]), count(lists[0]))
+
+
 def bm25(chunks: DataFrame, columns: list[str], query: str | list[list[str]], k: int | None, *, id_col: str = "id", allowed: DataFrame | None = None, stem: bool = False, index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
     """(id, score) by BM25 over all columns together (k1 1.2, b 0.75; idf at least 1e-6), ties by id.
 
     Document frequencies and the mean length stay those of all chunks when ``allowed`` ids restrict the result.  A word of the
-    query counts as often as it is written.  ``index`` and ``stats`` take written ``postings`` and ``doc_stats``.
+    query counts as often as it is written.
+
+    Without an index, one pass counts phrases and tokens in each chunk and one aggregation of a single row weighs them; no token leaves
+    its row.  ``index`` and ``stats`` take written ``postings`` and ``doc_stats``, and then only the query's terms are read.
     """
     phrases = query_phrases(query, stem) if isinstance(query, str) else query
-    spark = chunks.sparkSession
     if not phrases:
-        return spark.createDataFrame([], "id long, score double")
-    index = postings(chunks, columns, id_col=id_col, stem=stem) if index is None else index
-    stats = doc_stats(chunks, columns, id_col=id_col, diacritics=stem) if stats is None else stats
+        return chunks.sparkSession.createDataFrame([], "id long, score double")
+    if index is not None:
+        scored = _bm25_indexed(index, doc_stats(chunks, columns, id_col=id_col, diacritics=stem) if stats is None else stats, phrases, allowed)
+    else:
+        scored = _bm25_scanned(chunks, columns, phrases, id_col, allowed, stem)
+    return scored if k is None else scored.orderBy(F.desc(F.round("score", 9)), "id").limit(k)
+
+
+def _weight(f: Column, df_t: Column) -> Column:
+    idf = F.greatest(F.log((F.col("n_docs") - df_t + 0.5) / (df_t + 0.5)), F.lit(1e-6))
+    return idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
+
+
+def _bm25_scanned(chunks: DataFrame, columns: list[str], phrases: list[list[str]], id_col: str, allowed: DataFrame | None, stem: bool) -> DataFrame:
+    forms = word_forms(chunks, columns, {t for p in phrases for t in p}) if stem else {}
+    fitting = [[forms.get(t, [t]) if stem else [t] for t in p] for p in phrases]
+    names = [f"__t{c}" for c in range(len(columns))]
+    rows = chunks.select(F.col(id_col).alias("id"), *(tokens(F.col(c), diacritics=stem).alias(n) for c, n in zip(columns, names, strict=True)))
+    different = list(dict.fromkeys(map(tuple, (map(tuple, p) for p in fitting))))
+    of = {p: i for i, p in enumerate(different)}
+    rows = rows.select("id", sum((F.size(n) for n in names), F.lit(0)).alias("dl"), *(phrase_frequency([F.col(n) for n in names], [list(w) for w in p]).alias(f"__f{i}") for p, i in of.items()))
+    total = F.broadcast(rows.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"__f{i}") > 0).alias(f"__n{i}") for i in of.values())))  # one row
+    hits = rows.where(sum((F.col(f"__f{i}") for i in of.values()), F.lit(0)) > 0)
+    if allowed is not None:
+        hits = hits.join(allowed.select("id"), "id", "left_semi")
+    parts = [_weight(F.col(f"__f{of[tuple(map(tuple, p))]}"), F.col(f"__n{of[tuple(map(tuple, p))]}")) for p in fitting]
+    return hits.crossJoin(total).select("id", sum(parts[1:], parts[0]).alias("score"))
+
+
+def _bm25_indexed(index: DataFrame, stats: DataFrame, phrases: list[list[str]], allowed: DataFrame | None) -> DataFrame:
     counts = phrase_counts(index, phrases)
     total = F.broadcast(stats.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))  # one row
     df_t = F.broadcast(counts.groupBy("phrase").agg(F.count("*").alias("df_t")))  # a row for each phrase of the query
     if allowed is not None:
         counts = counts.join(allowed.select("id"), "id", "left_semi")
-    idf = F.greatest(F.log((F.col("n_docs") - F.col("df_t") + 0.5) / (F.col("df_t") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("f") * 2.2 / (F.col("f") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
-    scored = counts.join(df_t, "phrase").join(stats, "id").crossJoin(total).groupBy("id").agg(F.sum(part).alias("score"))
-    return scored if k is None else scored.orderBy(F.desc(F.round("score", 9)), "id").limit(k)
+    return counts.join(df_t, "phrase").join(stats, "id").crossJoin(total).groupBy("id").agg(F.sum(_weight(F.col("f"), F.col("df_t"))).alias("score"))
 
 
 # ---------------------------------------------------------------- fusion and response

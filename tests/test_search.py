@@ -32,6 +32,9 @@ def test_bm25_equals_fts5(spark):
         got = {r["id"]: r["score"] for r in search.bm25(df, ["name", "content", "file_path", "chunk_type"], q, None, stem=True).collect()}
         assert got.keys() == want.keys(), q
         assert all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want), q
+        index = search.postings(df, ["name", "content", "file_path", "chunk_type"], stem=True)
+        same = {r["id"]: r["score"] for r in search.bm25(df, ["name", "content", "file_path", "chunk_type"], q, None, stem=True, index=index).collect()}
+        assert same.keys() == want.keys() and all(math.isclose(same[k], want[k], rel_tol=1e-9) for k in want), q
     assert search.bm25(df, ["content"], " _ ", 5).count() == 0
     # a filter restricts the result but not the statistics
     allowed = df.where("id < 20").select("id")
