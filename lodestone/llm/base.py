@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 
 TEXT = "__text"
 #: Texts are handed to vectorised code in slices of about so many bytes; one longer text makes a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,9 +37,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts hold BATCH_ROWS rows, unless the session sets their size itself."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage durably."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -56,6 +65,7 @@ def map_texts(
 
     ``texts`` are UTF-8 bytes (null: empty), in slices of about SLICE_BYTES.
     """
+    small_batches(docs.sparkSession)
     names = [n for n, _ in fields]
     kept = [c for c in dict.fromkeys(keep) if c not in names]
     picked = docs.select(*kept, F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias(TEXT))

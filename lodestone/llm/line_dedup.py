@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import TEXT, cut, map_texts
+from .base import TEXT, cut, map_texts, small_batches
 
 STRIP = b" \t\n\x0b\x0c\r"
 SEGMENTS = 64
@@ -68,6 +68,7 @@ def _merge(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def twice_seen(docs: DataFrame, *, text_col: str, min_chars: int, bits: int) -> np.ndarray:
     """The packed twice-seen filter over the keys of all documents."""
+    small_batches(docs.sparkSession)
     width = bits // SEGMENTS
     source = docs.select(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias(TEXT))
 

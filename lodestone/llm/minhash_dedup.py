@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .base import M64, cut, map_texts, mix, shingle_sets, slices
 
 BLOCK = 512
-FILTER_BITS = 1 << 27
+FILTER_BITS = 1 << 26
 BITMAP = 32768  # bits of Spark's bitmap aggregate
 _EMPTY = np.uint64(M64)
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import TEXT, arrow_type
+from .base import TEXT, arrow_type, small_batches
 from .tokens import encode, vocabulary_path
 
 END_ID = 0
@@ -95,6 +95,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, bytes]]:
 def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, tokenizer: str | None = None) -> DataFrame:
     """One row per piece: the id, ``start``, ``length``, ``ids`` (little-endian unsigned 32-bit), ``doc_tokens``,
     ``sequence_id`` (input partition in the upper bits) and ``offset`` there."""
+    small_batches(docs.sparkSession)
     path = tokenizer or vocabulary_path()
     picked = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias(TEXT))
     kind = picked.schema["doc"].dataType

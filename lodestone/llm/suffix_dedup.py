@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import TEXT, cut, mix, powers, prefix_hash, slices
+from .base import TEXT, cut, mix, powers, prefix_hash, slices, small_batches
 from .filters import bit_set, has_bit, twice_seen
 from .suffix_array import suffix_array
 
@@ -274,6 +274,7 @@ def covered(size: int, p: np.ndarray, mask: np.ndarray) -> np.ndarray:
 def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, hot: int = HOT) -> DataFrame:
     """The id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the remaining bytes) of every document."""
     spark = docs.sparkSession
+    small_batches(spark)
     low = -(1 << 63)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias(TEXT))
     found = marks(rows.select("doc", TEXT), bits, hot)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import TEXT, cut, mix
+from .base import TEXT, cut, mix, small_batches
 from .packing import _texts, packed
 from .tokens import vocabulary_path
 
@@ -53,6 +53,7 @@ def feistel(index: np.ndarray, n: int, key: int, inverse: bool = False) -> np.nd
 
 def sequences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 1024, tokenizer: str | None = None) -> DataFrame:
     """Packed sequences: ``part``, ``local``, ``n_tokens``, ``doc_ids`` and ``ids`` (window * 2 bytes, padded with 0)."""
+    small_batches(docs.sparkSession)
     path = tokenizer or vocabulary_path()
     picked = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias(TEXT))
 
