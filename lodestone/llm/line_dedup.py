@@ -5,9 +5,8 @@ sets a "once seen" and a "twice seen" filter; a second pass lets only keys of th
 repeats) into a shuffle, where their document counts are exact.  Both filters have a fixed number of bits (a
 parameter): if the corpus outgrows them more keys are suspected, and the result stays exact.
 
-Filters merge associatively: once = a.once | b.once, twice = a.twice | b.twice | (a.once & b.once).  Each input
-partition gives, per filter segment, the sorted positions of its set bits; segments are merged in two levels, and the
-twice-seen filter (bits / 8 bytes, whatever the corpus) is broadcast.
+Each input partition reports the sorted positions of its set bits by filter segment, and segments are merged where they
+are (``filters.twice_seen``); the twice-seen filter (bits / 8 bytes, whatever the corpus) is broadcast.
 
 Null and empty texts are one empty line.  Keys of fewer than ``min_chars`` code points are never dropped.  Repeated
 rows are documents of their own.  A key counts once per document.
@@ -21,15 +20,14 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .base import TEXT, cut, map_texts, small_batches
+from .filters import has_bit, twice_seen
 
 STRIP = b" \t\n\x0b\x0c\r"
-SEGMENTS = 64
 
 
 def line_key(line: bytes) -> bytes:
@@ -51,72 +49,29 @@ def _positions(digests: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate((digests[:, 0] & mask, digests[:, 1] & mask)).astype(np.uint32)
 
 
-def _as_words(digests: Iterable[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
-
-
-def _merge(rows: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
-    once, twice = np.zeros(width, bool), np.zeros(width, bool)
-    for a, b in zip(rows["once"].to_pylist(), rows["twice"].to_pylist(), strict=True):
-        seen = np.frombuffer(a, np.uint32)
-        again = seen[once[seen]]
-        twice[again] = True
-        once[seen] = True
-        twice[np.frombuffer(b, np.uint32)] = True
-    return once, twice
-
-
-def twice_seen(docs: DataFrame, *, text_col: str, min_chars: int, bits: int) -> np.ndarray:
+def suspects_filter(docs: DataFrame, *, text_col: str, min_chars: int, bits: int) -> np.ndarray:
     """The packed twice-seen filter over the keys of all documents."""
     small_batches(docs.sparkSession)
-    width = bits // SEGMENTS
     source = docs.select(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias(TEXT))
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [b"".join(_digests(t.as_py(), min_chars)) for batch in batches for t in batch.column(TEXT)]
-        keys, counts = np.unique(np.frombuffer(b"".join(found), "V16"), return_counts=True) if any(found) else (np.zeros(0, "V16"), np.zeros(0, int))
-        part, rows = TaskContext.get().partitionId(), []
-        once = np.unique(_positions(keys.view(np.uint64).reshape(-1, 2), bits))
-        twice = np.unique(_positions(np.ascontiguousarray(keys[counts > 1]).view(np.uint64).reshape(-1, 2), bits))
-        for seg in range(SEGMENTS):
-            lo, hi = seg * width, (seg + 1) * width
-            a, b = (x[np.searchsorted(x, lo) : np.searchsorted(x, hi)] - np.uint32(lo) for x in (once, twice))
-            if len(a):
-                rows.append((seg, part % 256, a.astype(np.uint32).tobytes(), b.astype(np.uint32).tobytes()))
-        if rows:
-            seg, grp, a, b = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seg, pa.int32()), pa.array(grp, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["seg", "grp", "once", "twice"])
-
-    def level(rows: pa.Table) -> pa.Table:
-        once, twice = _merge(rows, width)
-        a, b = (np.flatnonzero(x).astype(np.uint32).tobytes() for x in (once, twice))
-        return pa.table({"seg": rows["seg"].slice(0, 1), "once": pa.array([a], pa.binary()), "twice": pa.array([b], pa.binary())})
-
-    def last(rows: pa.Table) -> pa.Table:
-        return pa.table({"seg": rows["seg"].slice(0, 1), "packed": pa.array([np.packbits(_merge(rows, width)[1], bitorder="little").tobytes()], pa.binary())})
-
-    parts = source.mapInArrow(local, "seg int, grp int, once binary, twice binary")
-    merged = parts.groupBy("seg", "grp").applyInArrow(level, "seg int, once binary, twice binary")
-    merged = merged.groupBy("seg").applyInArrow(last, "seg int, packed binary")
-    out = np.zeros(bits // 8, np.uint8)
-    for row in merged.toLocalIterator():  # SEGMENTS rows of width / 8 bytes
-        out[row["seg"] * width // 8 : (row["seg"] + 1) * width // 8] = np.frombuffer(row["packed"], np.uint8)
-    return out
+    def hashes(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        return np.frombuffer(b"".join(d for batch in batches for t in batch.column(TEXT) for d in _digests(t.as_py(), min_chars)), "V16")
+
+    return twice_seen(source, hashes, lambda keys: _positions(np.ascontiguousarray(keys).view(np.uint64).reshape(-1, 2), bits), bits)
 
 
 def _suspected(digests: list[bytes], packed: np.ndarray) -> list[bytes]:
     if not digests:
         return []
-    bits = len(packed) * 8
-    pos = _positions(_as_words(digests), bits).reshape(2, -1)
-    hit = ((packed[pos >> np.uint32(3)] >> (pos & np.uint32(7)).astype(np.uint8)) & 1).all(0)
+    pos = _positions(np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2), len(packed) * 8)
+    hit = has_bit(packed, pos).reshape(2, -1).all(0)
     return [digests[i] for i in np.flatnonzero(hit)]
 
 
 def hot_keys(docs: DataFrame, *, id_col: str, text_col: str, min_docs: int, min_chars: int, bits: int) -> tuple[DataFrame, object]:
     """(key, first): digests of the keys that at least ``min_docs`` documents have, with the smallest id; and the broadcast filter."""
     spark = docs.sparkSession
-    packed = spark.sparkContext.broadcast(twice_seen(docs, text_col=text_col, min_chars=min_chars, bits=bits))
+    packed = spark.sparkContext.broadcast(suspects_filter(docs, text_col=text_col, min_chars=min_chars, bits=bits))
     source = _picked(docs, id_col, text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

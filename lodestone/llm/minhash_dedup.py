@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .base import M64, cut, map_texts, mix, shingle_sets, slices
+from .filters import bit_set, has_bit
 
 BLOCK = 512
 FILTER_BITS = 1 << 26
-BITMAP = 32768  # bits of Spark's bitmap aggregate
 _EMPTY = np.uint64(M64)
 
 
@@ -103,25 +103,17 @@ def similar_enough(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def likely(rows: DataFrame, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """The rows whose ``id`` is in ``ids``, and few others: a filter of ``bits`` bits, built by bitmap aggregation and
-    broadcast, lets texts that nothing needs stay where they are.  With more ids it lets more rows through."""
-    spark = rows.sparkSession
+    """The rows whose ``id`` is in ``ids``, and few others: a broadcast set of ``bits`` bits lets texts that nothing needs
+    stay where they are.  With more ids it lets more rows through."""
     place = lambda: F.pmod(F.xxhash64("id"), F.lit(bits))
-    maps = ids.select(place().alias("h")).groupBy(F.expr(f"h div {BITMAP}").alias("bucket")).agg(F.expr(f"bitmap_construct_agg(h % {BITMAP})").alias("map"))
-    packed = np.zeros(bits // 8, np.uint8)
-    for r in maps.toLocalIterator():  # bits / 8 bytes at most
-        packed[r["bucket"] * BITMAP // 8 : (r["bucket"] + 1) * BITMAP // 8] = np.frombuffer(r["map"], np.uint8)
-    known = spark.sparkContext.broadcast(packed)
-
-    columns, schema = rows.columns, rows.schema
+    known = rows.sparkSession.sparkContext.broadcast(bit_set(ids.select(place().alias("h")), bits))
+    columns = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column(0).to_numpy()
-            hit = (known.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1
-            yield batch.filter(pa.array(hit.astype(bool))).select(columns)
+            yield batch.filter(pa.array(has_bit(known.value, batch.column(0).to_numpy()))).select(columns)
 
-    return rows.select(place().alias("__place"), *columns).mapInArrow(run, schema)
+    return rows.select(place().alias("__place"), *columns).mapInArrow(run, rows.schema)
 
 
 def compared(pairs: DataFrame, docs: DataFrame, *, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
