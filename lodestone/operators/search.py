@@ -74,23 +74,20 @@ def word_forms(chunks: DataFrame, columns: list[str], stems: set[str]) -> dict[s
     return {k: sorted(v) for k, v in out.items()}
 
 
-def phrase_frequency(lists: list[Column], phrase: list[list[str]]) -> Column:
-    """How often a phrase occurs in token lists; each of its places gives the words that fit there."""
+def phrase_frequency(terms: Column, phrase: list[list[str]]) -> Column:
+    """How often a phrase occurs in a token list; each of its places gives the words that fit there."""
+    if len(phrase) == 1:
+        parts = [F.size(terms) - F.size(F.array_remove(terms, w)) for w in phrase[0]]
+        return sum(parts[1:], parts[0])
+    shifted = [terms if k == 0 else F.slice(terms, F.lit(k + 1), F.size(terms)) for k in range(len(phrase))]
 
-    def count(terms: Column) -> Column:
-        # the list stays outside the lambda, where it would be made again for each element
-        shifted = [terms if k == 0 else F.slice(terms, F.lit(k + 1), F.size(terms)) for k in range(len(phrase))]
-        rows = F.arrays_zip(*(t.alias(f"w{k}") for k, t in enumerate(shifted)))
+    def here(x: Column) -> Column:
+        out = x["w0"].isin(*phrase[0])
+        for k in range(1, len(phrase)):
+            out = out & x[f"w{k}"].isin(*phrase[k])
+        return out
 
-        def here(x: Column) -> Column:
-            out = x["w0"].isin(*phrase[0])
-            for k in range(1, len(phrase)):
-                out = out & x[f"w{k}"].isin(*phrase[k])
-            return out
-
-        return F.size(F.filter(terms, lambda x: x.isin(*phrase[0])) if len(phrase) == 1 else F.filter(rows, here))
-
-    return sum((count(t) for t in lists[1:]), count(lists[0]))
+    return F.size(F.filter(F.arrays_zip(*(t.alias(f"w{k}") for k, t in enumerate(shifted))), here))
 
 
 def bm25(chunks: DataFrame, columns: list[str], query: str | list[list[str]], k: int | None, *, id_col: str = "id", allowed: DataFrame | None = None, stem: bool = False, index: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
@@ -120,11 +117,12 @@ def _weight(f: Column, df_t: Column) -> Column:
 def _bm25_scanned(chunks: DataFrame, columns: list[str], phrases: list[list[str]], id_col: str, allowed: DataFrame | None, stem: bool) -> DataFrame:
     forms = word_forms(chunks, columns, {t for p in phrases for t in p}) if stem else {}
     fitting = [[forms.get(t, [t]) if stem else [t] for t in p] for p in phrases]
-    names = [f"__t{c}" for c in range(len(columns))]
-    rows = chunks.select(F.col(id_col).alias("id"), *(tokens(F.col(c), diacritics=stem).alias(n) for c, n in zip(columns, names, strict=True)))
-    different = list(dict.fromkeys(map(tuple, (map(tuple, p) for p in fitting))))
-    of = {p: i for i, p in enumerate(different)}
-    rows = rows.select("id", sum((F.size(n) for n in names), F.lit(0)).alias("dl"), *(phrase_frequency([F.col(n) for n in names], [list(w) for w in p]).alias(f"__f{i}") for p, i in of.items()))
+    of = {p: i for i, p in enumerate(dict.fromkeys(tuple(map(tuple, p)) for p in fitting))}
+    # one list for all columns, with '' between: no phrase crosses it.  As a lambda's argument it is made once, and the
+    # generator keeps filters above from making it again.
+    lists = [part for c in columns for part in (F.array(F.lit("")), tokens(F.col(c), diacritics=stem))][1:]
+    counted = F.transform(F.array(F.concat(*lists)), lambda t: F.struct((F.size(t) - (len(columns) - 1)).alias("dl"), *(phrase_frequency(t, [list(w) for w in p]).alias(f"__f{i}") for p, i in of.items())))
+    rows = chunks.select(F.col(id_col).alias("id"), F.inline(counted))
     total = F.broadcast(rows.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"__f{i}") > 0).alias(f"__n{i}") for i in of.values())))  # one row
     hits = rows.where(sum((F.col(f"__f{i}") for i in of.values()), F.lit(0)) > 0)
     if allowed is not None:
