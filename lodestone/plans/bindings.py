@@ -688,3 +688,88 @@ def source_slice(spark, d):
     path = F.col("doc_id").cast("string")
     stored = docs.select(F.col("doc_id").alias("id"), path.alias("file_path"), F.lit(10).alias("byte_start"), F.when(F.col("doc_id") % 3 == 0, 0).otherwise(60).alias("byte_end"), F.col("text").alias("content"))
     return byte_slice(stored, docs.select(path.alias("path"), F.col("text").cast("binary").alias("content"))).select("id", "source")
+
+
+@query(ORACLE["bm25_phrase"])
+def bm25_indexed(spark, d):
+    """The same through postings and document statistics."""
+    c = chunks(spark, d)
+    index, stats = search.postings(c, BM_COLUMNS), search.doc_stats(c, BM_COLUMNS)
+    return search.bm25(c, BM_COLUMNS, "of_the that", 20, index=index, stats=stats).select("id", F.round("score", 6).alias("score"))
+
+
+# ---------------------------------------------------------------- parsing: a small source file made of each document's number
+
+PYTHON_SOURCE = "import m{7}\nfrom p{5} import q{3}\n\n\nclass C{d}(B{4}):\n    def run(self, x):\n        return g{10}(x)\n\n\ndef f{d}(x):\n    y = h{6}(x)\n    return y\n"
+TYPESCRIPT_SOURCE = "import {{ q{3} }} from 'p{5}';\n\nclass C{d} extends B{4} {{\n  run(x: number): number {{\n    return g{10}(x);\n  }}\n}}\n\nfunction f{d}(x: number): number {{\n  const y = h{6}(x);\n  return y;\n}}\n"
+
+
+def _source(template: str):
+    """A template's {n} as doc_id % n and {d} as doc_id."""
+    import re
+
+    parts = []
+    for text, key in re.findall(r"((?:[^{}]|\{\{|\}\})*)(?:\{(\d+|d)\})?", template):
+        if text:
+            parts.append(F.lit(text.replace("{{", "{").replace("}}", "}")))
+        if key:
+            parts.append((F.col("doc_id") if key == "d" else F.col("doc_id") % int(key)).cast("string"))
+    return F.concat(*parts)
+
+
+def _parsed(spark, d) -> DataFrame:
+    from ..parse.files import parsed
+
+    docs = table(spark, d, "documents").select("doc_id")
+    python = F.col("doc_id") % 2 == 0
+    path = F.concat(F.lit("s"), F.col("doc_id").cast("string"), F.when(python, ".py").otherwise(".ts"))
+    return parsed(docs.select(path.alias("path"), F.when(python, _source(PYTHON_SOURCE)).otherwise(_source(TYPESCRIPT_SOURCE)).alias("text")))
+
+
+PARSED_SQL = "s AS (SELECT doc_id AS d, doc_id % 2 = 0 AS py, 's' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.ts' END AS file_path FROM documents)"
+
+
+@query(
+    f"""WITH {PARSED_SQL} SELECT file_path, 's' || d AS name, 'file_header' AS chunk_type, 1 AS start_line, CASE WHEN py THEN 2 ELSE 1 END AS end_line FROM s
+UNION ALL SELECT file_path, 'C' || d, CASE WHEN py THEN 'class_definition' ELSE 'class_declaration' END, CASE WHEN py THEN 5 ELSE 3 END, 7 FROM s
+UNION ALL SELECT file_path, 'f' || d, CASE WHEN py THEN 'function_definition' ELSE 'function_declaration' END, CASE WHEN py THEN 10 ELSE 9 END, 12 FROM s"""
+)
+def parse_chunks(spark, d):
+    from ..parse.files import tables
+
+    return tables(_parsed(spark, d))["chunks"].select("file_path", "name", "chunk_type", "start_line", "end_line")
+
+
+@query(
+    f"""WITH {PARSED_SQL} SELECT file_path, 'C' || d AS name, 'class' AS kind, CASE WHEN py THEN 5 ELSE 3 END AS line, true AS has_chunk FROM s
+UNION ALL SELECT file_path, 'run', CASE WHEN py THEN 'function' ELSE 'method' END, CASE WHEN py THEN 6 ELSE 4 END, false FROM s
+UNION ALL SELECT file_path, 'f' || d, 'function', CASE WHEN py THEN 10 ELSE 9 END, true FROM s"""
+)
+def parse_symbols(spark, d):
+    from ..parse.files import tables
+
+    return tables(_parsed(spark, d))["symbols"].select("file_path", "name", "kind", "line", F.col("chunk_id").isNotNull().alias("has_chunk"))
+
+
+@query(
+    f"""WITH {PARSED_SQL} SELECT file_path, 'run' AS caller_name, 'g' || d % 10 AS callee_name, CASE WHEN py THEN 7 ELSE 5 END AS line FROM s
+UNION ALL SELECT file_path, 'f' || d, 'h' || d % 6, CASE WHEN py THEN 11 ELSE 10 END FROM s"""
+)
+def parse_calls(spark, d):
+    from ..parse.files import tables
+
+    return tables(_parsed(spark, d))["calls"].select("file_path", "caller_name", "callee_name", "line")
+
+
+@query(f"WITH {PARSED_SQL} SELECT file_path, 'q' || d % 3 AS imported_name, 'p' || d % 5 AS module_path FROM s UNION ALL SELECT file_path, 'm' || d % 7, 'm' || d % 7 FROM s WHERE py")
+def parse_imports(spark, d):
+    from ..parse.files import tables
+
+    return tables(_parsed(spark, d))["imports"]
+
+
+@query(f"WITH {PARSED_SQL} SELECT file_path, 'C' || d AS child_name, 'B' || d % 4 AS parent_name, 'extends' AS relation, CASE WHEN py THEN 5 ELSE 3 END AS line FROM s")
+def parse_inheritance(spark, d):
+    from ..parse.files import tables
+
+    return tables(_parsed(spark, d))["inheritance"].select("file_path", "child_name", "parent_name", "relation", "line")
