@@ -180,4 +180,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = (sibling(spark, sf_dir, t) for t in ("documents", "benchmark"))
     found = contaminated(docs, benchmark).where(F.size("hits") > 0)
-    return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+    return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*").withColumn("similarity", F.round("similarity", 9))

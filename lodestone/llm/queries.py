@@ -10,6 +10,7 @@ from .minhash_dedup import op5_minhash_dedup
 from .packing import op8_packing
 from .quality import op4_quality
 from .secret_scan import OP2_SQL, op2_secret_scan
+from .sql import OP5_SQL, OP7_SQL
 from .suffix_dedup import op1_suffix_dedup
 from .training_order import op3_training_order
 
@@ -27,6 +28,8 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_secret_scan": OP2_SQL,
+    "op5_minhash_dedup": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
+    "op7_decontamination": OP7_SQL,
     "op9_chat_threads": OP9_SQL,
 }
