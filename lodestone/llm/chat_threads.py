@@ -4,7 +4,9 @@ A line's quote level is the number of ``>`` in its leading run of ``>`` and blan
 level of 1 or more.  Passages are normalised (markers off, A-Z and other letters lower-cased, runs of white space to one
 space, trimmed), hashed, and joined within the conversation to what messages say without quotes: the whole body, each
 paragraph (between blank lines) and each line.  A passage's original is the earliest turn before the quoting one that says
-it.  A message's parent is the latest original of its level-1 passages; deeper levels give ``n_linked`` only.  Parents lead to
+it.  With ``parts``, a passage that no message says as a whole is looked for by its paragraphs (between bare markers) and its lines, and its
+original is the latest one of theirs; it counts once in ``n_quoted`` and ``n_linked``.  A message's parent is the latest
+original of its level-1 passages; deeper levels give ``n_linked`` only.  Parents lead to
 ``thread_turn``, the first message of the reply chain, and ``depth``, by pointer doubling: the number of rounds is the logarithm of
 the longest chain, and all joins are on (conversation, turn), so that a conversation of a third of all rows stays spread out.
 
@@ -45,8 +47,13 @@ def _body(text: Column) -> Column:
     return F.regexp_replace(own, "^[ \\t\\x0B\\f\\r\\n]+|[ \\t\\x0B\\f\\r\\n]+$", "")
 
 
-def _passages(quoting: DataFrame) -> DataFrame:
-    """(conv, turn, level, hash) of each quoted passage."""
+def _cut_up(passage: Column) -> Column:
+    """The paragraphs and the lines of a text."""
+    return F.array_union(F.split(passage, "\\n[ \\t\\r]*\\n", -1), F.split(passage, "\n", -1))
+
+
+def _passages(quoting: DataFrame, parts: bool) -> DataFrame:
+    """(conv, turn, key, run, level, pos, hash) of each quoted passage: at pos 0 the whole, then, with ``parts``, its paragraphs and lines."""
     lines = quoting.select("conv", "turn", "key", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     lines = lines.select("conv", "turn", "key", "pos", _level(F.col("line")).alias("level"), F.regexp_replace("line", QUOTE, "").alias("line"))
     own = Window.partitionBy("conv", "turn", "key").orderBy("pos")  # the lines of one message
@@ -54,12 +61,15 @@ def _passages(quoting: DataFrame) -> DataFrame:
     lines = lines.withColumn("run", F.sum("new").over(own)).where("level > 0")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
     runs = lines.groupBy("conv", "turn", "key", "run", "level").agg(text.alias("passage"))
-    return runs.where(normal(F.col("passage")) != "").select("conv", "turn", "level", _hash(F.col("passage")).alias("hash"))
+    runs = runs.where(normal(F.col("passage")) != "")
+    forms = F.array_union(F.array("passage"), _cut_up(F.col("passage"))) if parts else F.array("passage")
+    each = runs.select("conv", "turn", "key", "run", "level", F.posexplode(forms).alias("pos", "form")).where(normal(F.col("form")) != "")
+    return each.select("conv", "turn", "key", "run", "level", "pos", _hash(F.col("form")).alias("hash"))
 
 
 def _originals(said: DataFrame) -> DataFrame:
     """(conv, hash, first): the first turn that says a body, paragraph or line."""
-    parts = F.array_union(F.array("body"), F.array_union(F.split("body", "\\n[ \\t\\r]*\\n", -1), F.split("body", "\n", -1)))
+    parts = F.array_union(F.array("body"), _cut_up(F.col("body")))
     each = said.select("conv", "turn", F.explode(F.array_distinct(parts)).alias("part")).where(normal(F.col("part")) != "")
     return each.select("conv", "turn", _hash(F.col("part")).alias("hash")).groupBy("conv", "hash").agg(F.min("turn").alias("first"))
 
@@ -77,12 +87,12 @@ def _roots(links: DataFrame) -> DataFrame:
             return now.withColumnRenamed("up", "thread_turn")
 
 
-def threads(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def threads(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", parts: bool = False) -> DataFrame:
     """conv_id, turn, role, parent_turn, thread_turn, depth, n_quoted (passages), n_linked, body, rendered."""
     said = messages.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     said = said.withColumn("body", _body(F.col("text"))).withColumn("key", F.when(F.col("text").rlike(ANY_QUOTE), F.sha2("text", 256)))
     quoting = said.where("key is not null and conv is not null and turn is not null").select("conv", "turn", "key", "text").distinct()
-    passages = cut(_passages(quoting), "passages")
+    passages = cut(_passages(quoting, parts), "passages")
     named = ["conv", "turn", "role", "body"]
     if passages.isEmpty():  # nothing quotes: no join is needed
         out = said.select(*named, *(F.lit(None).cast(said.schema["turn"].dataType).alias(n) for n in ("parent_turn", "thread")), *(F.lit(0).cast("long").alias(n) for n in ("depth", "n_quoted", "n_linked")))
@@ -90,6 +100,8 @@ def threads(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "
         wanted = passages.select("conv", "hash").distinct()
         firsts = _originals(said.join(passages.select("conv").distinct(), "conv", "left_semi")).join(wanted, ["conv", "hash"], "left_semi")
         found = passages.join(firsts, ["conv", "hash"], "left").withColumn("first", F.when(F.col("first") < F.col("turn"), F.col("first")))
+        whole, part = (F.max(F.when(c, F.col("first"))) for c in (F.col("pos") == 0, F.col("pos") > 0))
+        found = found.groupBy("conv", "turn", "key", "run", "level").agg(F.coalesce(whole, part).alias("first"))
         per = cut(found.groupBy("conv", "turn").agg(F.max(F.when(F.col("level") == 1, F.col("first"))).alias("parent_turn"), F.count("*").alias("n_quoted"), F.count("first").alias("n_linked")), "links")
         links = per.where("parent_turn is not null")
         roots = _roots(links).withColumnRenamed("thread_turn", "thread")
@@ -102,7 +114,7 @@ def threads(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "
 
 
 def op9_chat_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return threads(sibling(spark, sf_dir, "conversations"))
+    return threads(sibling(spark, sf_dir, "conversations"), parts=True)
 
 
 OP9_SQL = r"""
