@@ -127,7 +127,7 @@ cut AS (SELECT *, CASE WHEN lim <= 0 OR length(body) <= lim OR len(lines) <= fit
 
 @query(f"WITH src AS (SELECT doc_id, coalesce(text, '') AS body, 700 AS lim FROM documents WHERE n_chars < 20000), {TRUNCATE_SQL} SELECT doc_id, snippet FROM cut")
 def snippet_truncate(spark, d):
-    return table(spark, d, "documents").where("n_chars < 20000").select("doc_id", truncate(F.coalesce("text", F.lit("")), 700).alias("snippet"))
+    return table(spark, d, "documents").select("doc_id", truncate(F.coalesce("text", F.lit("")), 700).alias("snippet"))
 
 
 # ---------------------------------------------------------------- incremental maintenance
