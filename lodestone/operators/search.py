@@ -11,6 +11,10 @@ from ..functions.vectors import cosine, cosine_arrow
 from ..settings import LEAST_SNIPPET, MAX_PER_FILE, OVERFETCH, RESPONSE_CAP, RRF_K, SNIPPET_BUDGET
 
 
+#: The largest number of rows that are taken as a top-k.
+MOST_SORTED = 1_000_000
+
+
 def like_path(column: Column, pattern: str) -> Column:
     """``LIKE %pattern%`` with only A-Z and a-z alike; ``%`` and ``_`` in the pattern are wildcards."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -167,13 +171,19 @@ def per_file(results: DataFrame, most: int = MAX_PER_FILE) -> DataFrame:
     return results.withColumn("__n", F.row_number().over(own)).where(F.col("__n") <= most).drop("__n")
 
 
-def capped(results: DataFrame, cap: int = RESPONSE_CAP) -> DataFrame:
-    """The best results whose JSON together has at most ``cap`` characters; all of them if the first alone has more."""
-    order = Window.orderBy(F.desc("score"), "id")  # a response: few rows
-    size = F.length(F.to_json(F.struct(*(F.col(c) for c in results.columns))))
-    sized = results.withColumn("__size", size)
-    sized = sized.withColumn("__sum", F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__first", F.first("__size").over(order))
-    return sized.where((F.col("__sum") <= cap) | (F.col("__first") > cap)).drop("__size", "__sum", "__first")
+def capped(results: DataFrame, cap: int = RESPONSE_CAP, columns: list[str] | None = None) -> DataFrame:
+    """The best results whose JSON (of ``columns``, all if not given) together has at most ``cap`` characters; all of them if the first alone has more.
+
+    A result has at least the two characters of ``{}``, so the sum is taken over the best ``cap // 2`` rows only.
+    """
+    best = [F.desc("score"), F.asc("id")]
+    order = Window.orderBy(*best).rowsBetween(Window.unboundedPreceding, 0)
+    sized = results.withColumn("__size", F.length(F.to_json(F.struct(*(F.col(c) for c in columns or results.columns)))))
+    most = cap // 2
+    few = sized.orderBy(*best).limit(most) if most <= MOST_SORTED else sized  # a top-k of more would hold that many places in each task
+    prefix = few.withColumn("__sum", F.sum("__size").over(order)).where(F.col("__sum") <= cap).drop("__size", "__sum")
+    alone = sized.orderBy(*best).limit(1).where(F.col("__size") > cap).select(F.lit(True).alias("__alone"))  # one row or none
+    return prefix.unionByName(results.crossJoin(F.broadcast(alone)).drop("__alone"))
 
 
 def shaped(results: DataFrame, budget: int = SNIPPET_BUDGET, cap: int = RESPONSE_CAP) -> DataFrame:

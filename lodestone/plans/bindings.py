@@ -288,8 +288,7 @@ RESULTS_SQL = f"{CHUNKS_SQL}, results AS (SELECT id, (end_line / 100.0)::DOUBLE
 
 
 def _results(spark, d):
-    c = chunks(spark, d).where("id % 4 = 1")
-    return c.select("id", (F.col("end_line") / 100.0).alias("score"), F.col("file_path").alias("file"), "name", "language", F.col("content").alias("snippet"))
+    return chunks(spark, d).select("id", (F.col("end_line") / 100.0).alias("score"), F.col("file_path").alias("file"), "name", "language", F.col("content").alias("snippet"))
 
 
 @query(f"WITH {RESULTS_SQL} SELECT id, score, file FROM results QUALIFY row_number() OVER (PARTITION BY file ORDER BY score DESC, id) <= 2")
@@ -315,14 +314,7 @@ r AS (SELECT *, sum(size) OVER w AS running, first(size) OVER w AS head FROM s W
 SELECT id, file FROM r WHERE running <= 3000 OR head > 3000"""
 )
 def hard_cap_prefix(spark, d):
-    rows = _results(spark, d).select("id", "file", "score")
-    order = rows.orderBy(F.desc("score"), "id")
-    few = order.limit(1000)
-    sized = few.withColumn("size", F.length(F.to_json(F.struct("id", "file"))))
-    from pyspark.sql import Window
-
-    w = Window.orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    return sized.withColumn("running", F.sum("size").over(w)).withColumn("head", F.first("size").over(w)).where("running <= 3000 OR head > 3000").select("id", "file")
+    return search.capped(_results(spark, d).select("id", "file", "score"), 3000, ["id", "file"]).select("id", "file")
 
 
 def _document_calls(spark, d):

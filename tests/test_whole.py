@@ -1,5 +1,6 @@
 """Queries over all rows of their tables, against brute force on small fixtures."""
 
+from lodestone.operators import search
 from lodestone.plans import bindings
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -27,3 +28,36 @@ def test_truncation_of_long_texts_and_unknown_lengths(spark, tmp_path):
     rows = [(k, t, "en", "s", None if k in (4, 5) else len(t)) for k, t in texts.items()]
     got = {r["doc_id"]: r["snippet"] for r in bindings.snippet_truncate(spark, documents(spark, tmp_path, rows)).collect()}
     assert got == {k: truncated(t or "", 700) for k, t in texts.items()}
+
+
+def responses(spark, folder, n, first_file="f"):
+    """n documents of 1 to n lines, the longest of them in ``first_file``; 3 files otherwise."""
+    return documents(spark, folder, [(k, "\n".join(["a line"] * (k + 1)), "en", first_file if k == n - 1 else f"f{k % 3}", 1) for k in range(n)])
+
+
+def test_responses_are_made_of_all_documents(spark, tmp_path):
+    d = responses(spark, tmp_path, 40)
+    best = sorted(range(40), reverse=True)
+    files = {k: "f" if k == 39 else f"f{k % 3}" for k in best}
+    few = {k for k in best if sum(files[j] == files[k] for j in best if j > k) < 2}
+    assert {r["id"] for r in bindings.dedup_per_file(spark, d).collect()} == few
+    assert {r["id"] for r in bindings.snippet_budget(spark, d).collect()} == few
+    sizes, total, want = {k: len(f'{{"id":{k},"file":"{files[k]}"}}') for k in best}, 0, set()
+    for k in best:
+        total += sizes[k]
+        want |= {k} if total <= 3000 else set()
+    assert {r["id"] for r in bindings.hard_cap_prefix(spark, d).collect()} == want
+
+
+def test_a_first_result_beyond_the_cap_leaves_all_of_them(spark, tmp_path):
+    assert bindings.hard_cap_prefix(spark, responses(spark, tmp_path, 1200, "f" * 4000)).count() == 1200
+
+
+def test_the_cap_by_brute_force(spark):
+    rows = [(k, float(k * 7 % 10), "x" * (k * 13 % 30)) for k in range(60)]
+    df = spark.createDataFrame(rows, "id long, score double, snippet string")
+    order = sorted(rows, key=lambda r: (-r[1], r[0]))
+    sizes = [len(f'{{"id":{k},"score":{s},"snippet":"{t}"}}') for k, s, t in order]
+    for cap in (3, sizes[0] - 1, sizes[0], 100, 500, 10**9):
+        want = [r[0] for i, r in enumerate(order) if sum(sizes[: i + 1]) <= cap or sizes[0] > cap]
+        assert sorted(r["id"] for r in search.capped(df, cap).collect()) == sorted(want), cap
