@@ -14,6 +14,9 @@ TOP_LEVEL = "(top-level)"
 #: Names that are never dead; the last one is meant literally.
 ALIVE = ("main", "__init__", "setUp", "tearDown", "test_%")
 
+#: Walks of a hop that a search for chains goes on with, at first and when those were too few.
+WALKS = (1000, 100_000)
+
 
 def caller_label() -> Column:
     return F.when(F.col("caller_name").isNull() | (F.col("caller_name") == ""), F.lit(TOP_LEVEL)).otherwise(F.col("caller_name"))
@@ -140,17 +143,42 @@ def impact(calls: DataFrame, name: str, max_depth: int = 10) -> DataFrame:
 
 
 def sample_chains(calls: DataFrame, name: str, max_depth: int = 10, limit: int = 10) -> DataFrame:
-    """(chain): at most ``limit`` call chains from the top level or the depth limit down to ``name``, shortest first."""
+    """(chain): at most ``limit`` call chains from the top level or the depth limit down to ``name``, shortest first, then by names.
+
+    The search goes on with the alphabetically first walks of a hop, which are enough if ``limit`` chains come of them: chains that
+    come of later walks sort behind.  If fewer come and some walks were left out, it starts again with more, in the end with all.
+    """
     edges = calls.select(F.col("callee_name").alias("to"), F.coalesce(F.nullif(F.col("caller_name"), F.lit("")), F.lit(TOP_LEVEL)).alias("from")).distinct()
-    walks = calls.sparkSession.createDataFrame([([name],)], "path array<string>")
-    done = walks.where("false").select(F.col("path").alias("chain"))
+    for most in (*WALKS, None):
+        chains, whole = _chains(edges, name, max_depth, limit, most)
+        if whole:
+            break
+    return chains.orderBy(F.size("chain"), F.array_join("chain", "\x00")).limit(limit)
+
+
+def _chains(edges: DataFrame, name: str, max_depth: int, limit: int, most: int | None) -> tuple[DataFrame, bool]:
+    """Chains by the first ``most`` walks of each hop, and whether the first ``limit`` of all chains are among them."""
+    walks = edges.sparkSession.createDataFrame([([name],)], "path array<string>")
+    chains, found, whole = walks.where("false").select(F.col("path").alias("chain")), 0, True
+    by_name = F.array_join("path", "\x00")
     for depth in range(1, max_depth + 1):
-        walks = edges.join(walks, F.col("to") == F.element_at("path", -1)).where(~F.array_contains("path", F.col("from"))).select(F.concat("path", F.array("from")).alias("path"))
-        walks = _written(walks.orderBy(F.array_join("path", "\x00")).limit(1000))
-        ends = walks.where(F.element_at("path", -1) == TOP_LEVEL) if depth < max_depth else walks
-        done = done.unionByName(ends.select(F.col("path").alias("chain")))
-        walks = walks.where(F.element_at("path", -1) != TOP_LEVEL)
-    return done.orderBy(F.size("chain"), F.array_join("chain", "\x00")).limit(limit)
+        near = edges.join(walks, F.col("to") == F.element_at("path", -1)).where(~F.array_contains("path", F.col("from"))).select(F.concat("path", F.array("from")).alias("path"))
+        ends = near.where(F.element_at("path", -1) == TOP_LEVEL) if depth < max_depth else near
+        ends = _written(ends.orderBy(by_name).limit(limit))
+        chains, n = chains.unionByName(ends.select(F.col("path").alias("chain"))), ends.count()
+        found += n
+        if found >= limit:
+            return chains, True
+        if not whole:
+            return chains, False
+        if depth < max_depth:
+            on = near.where(F.element_at("path", -1) != TOP_LEVEL)
+            walks = _written(on if most is None else on.orderBy(by_name).limit(most))
+            n = walks.count()
+            if n == 0:
+                break
+            whole = whole and (most is None or n < most)
+    return chains, whole
 
 
 def graph_stats(symbols: DataFrame, calls: DataFrame, imports: DataFrame, inheritance: DataFrame) -> DataFrame:
