@@ -59,7 +59,7 @@ def importers(imports: DataFrame, module: str, limit: int = 20) -> DataFrame:
 
 def symbol(symbols: DataFrame, chunks: DataFrame, name: str) -> DataFrame:
     """The first symbol of a name, with its chunk's place and the first 1000 characters."""
-    first = symbols.where(F.col("name") == name).orderBy("file_path", "line", "kind").limit(1)
+    first = symbols.where(F.col("name") == name).orderBy("file_path", "line", "kind", "chunk_id").limit(1)
     place = chunks.select(F.col("id").alias("chunk_id"), "start_line", "end_line", F.substring("content", 1, 1000).alias("snippet"))
     return first.join(place, "chunk_id", "left").select("name", "kind", F.col("file_path").alias("file"), "line", "start_line", "end_line", "snippet")
 

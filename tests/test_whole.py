@@ -1,6 +1,6 @@
 """Queries over all rows of their tables, against brute force on small fixtures."""
 
-from lodestone.operators import search
+from lodestone.operators import graph, search
 from lodestone.plans import bindings
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -61,3 +61,20 @@ def test_the_cap_by_brute_force(spark):
     for cap in (3, sizes[0] - 1, sizes[0], 100, 500, 10**9):
         want = [r[0] for i, r in enumerate(order) if sum(sizes[: i + 1]) <= cap or sizes[0] > cap]
         assert sorted(r["id"] for r in search.capped(df, cap).collect()) == sorted(want), cap
+
+
+def test_projects_of_documents_of_any_id(spark, tmp_path):
+    d = documents(spark, tmp_path, [(k, "t", "en", "s", 1) for k in (1000, 1001, 1002, 1003)])
+    got = {tuple(r) for r in bindings.detect_projects(spark, d).collect()}
+    assert got == {("proj1", "proj1", "backend", "csharp"), ("proj2", "proj2", "frontend", "typescript"), ("proj3", "proj3", "backend", "go"), ("proj4", "proj4", "backend", "unknown")}
+    assert bindings.monorepo_check(spark, d).first()["projects"] == 4
+
+
+def test_a_symbol_is_searched_in_the_whole_table(spark, tmp_path, monkeypatch):
+    d = documents(spark, tmp_path, [(k, "t", "en", "s", 1) for k in (2000031, 2000021, 2000011, 2000012)])
+    seen = []
+    monkeypatch.setattr(bindings.graph, "symbol", lambda s, *rest, symbol=graph.symbol: seen.append(s.count()) or symbol(s, *rest))
+    assert [r["name"] for r in bindings.symbol_lookup(spark, d).collect()] == ["odd"] and seen == [4]
+    rows = [(k, "f", "function", "a.py", 1) for k in (9, 3, 5)]
+    chunks = spark.createDataFrame([(k, k, k, "c") for k in (9, 3, 5)], "id long, start_line int, end_line int, content string")
+    assert graph.symbol(spark.createDataFrame(rows, "chunk_id long, name string, kind string, file_path string, line int").coalesce(1), chunks, "f").first()["start_line"] == 3
