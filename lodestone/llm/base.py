@@ -28,9 +28,11 @@ BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is made only where none is configured."""
+    """The folder that driver and executors share; a temporary one is made only for a local session that names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="lodestone-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -48,9 +50,25 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage durably."""
     spark = df.sparkSession
     small_batches(spark)
-    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    top = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _store(spark, top)[0].deleteOnExit(_store(spark, top)[1])  # with the session
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def _store(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what ``cut`` wrote for tables that nothing reads any more."""
+    for t in tables:
+        store, at = _store(t.sparkSession, t._cut)
+        store.delete(at, True)
 
 
 def map_texts(
