@@ -95,3 +95,17 @@ def test_shards_hold_every_sequence_in_slot_order(spark, tmp_path):
     assert tokens == sum(len(reference_ids(t)) + 1 for _, t in ROWS)
     assert training_order(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     made.unpersist()
+
+
+def test_long_runs_of_one_character(spark):
+    """1,000,000 blanks, line feeds, letters or digits pack like any text, and short runs give the same ids on both ways."""
+    from lodestone.llm import tokens
+
+    texts = [" " * 1_000_000, "\n" * 1_000_000, "a" * 1_000_000, "1" * 1_000_000, ("x" * 499 + " ") * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pack(docs).selectExpr("doc_id", "length", "doc_tokens").groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).collect()
+    assert len(rows) == len(texts) and all(r["sum(length)"] == r["max(doc_tokens)"] for r in rows)
+    path = tokens.vocabulary_path()
+    for c in (" ", "\n", "q", "字", "!"):
+        text = f"one {c * (tokens.RUN - 1)} two"
+        assert tokens.encode(text, path).tolist() == tokens._tokenizer(path).encode(text, add_special_tokens=False).ids
