@@ -9,10 +9,11 @@ Chains have at most ``CHAIN`` words: longer texts are labelled in consecutive ch
 
 Training: only text and non-null ``lang`` of documents that are not held out, on a bounded sample - at most ``DOCS_PER_LANGUAGE``
 documents of each language (chosen by a hash of the id) and ``CHUNKS`` chunks of ``CHAIN`` words from evenly spaced places
-of each.  Half of the training chains join runs of several languages, from which the transitions learn.
+of each, words cut at ``WORD_BYTES``.  Half of the training chains join runs of several languages, from which the transitions learn.
 
 ``und`` with score 0: null or empty texts, texts without a letter, and all texts where nothing was learned.
-Ties go to the first language in order.  Repeated rows get equal results.
+Ties go to the first language in order.  Repeated rows get equal results, and count once in training.  An output column wins over a
+kept one of its name; an empty table gives no rows.  The model is 2**TABLE_BITS x languages numbers.
 """
 
 from __future__ import annotations
@@ -23,15 +24,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import TEXT, Words, cut, map_texts, mix, powers, prefix_hash
+from .base import TEXT, Words, cut, map_texts, mix, powers, prefix_hash, release
 
 CHAIN = 64
 DOCS_PER_LANGUAGE = 250
 CHUNKS = 2
+#: Longer words of the training sample are cut to so many bytes; prediction takes whole words.
+WORD_BYTES = 200
 TABLE_BITS = 17
 ROUNDS = 40
 AFFIX = 3
@@ -48,32 +51,39 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - TABLE_BITS)).astype(np.int32)
 
 
-def features(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per-word feature slots (words x 7), and the slots of all trigrams with each word's begin and end among them."""
-    s, e = w.start, w.end
+def features(w: Words, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some words: feature slots (words x 7), the slots of their trigrams one word after the other, and where each word's begin."""
+    s, e = w.start[some], w.end[some]
     p, inverse = prefix_hash(w.data), powers(len(w.data) + 1)[1]
-    cols = [_slot(mix(w.hash ^ np.uint64(0x77)))]
+    cols = [_slot(mix(w.hash[some] ^ np.uint64(0x77)))]
     for k in range(1, AFFIX + 1):
         to, back = np.minimum(s + k, e), np.maximum(e - k, s)
         cols.append(_slot(mix((p[to] - p[s]) * inverse[s] + np.uint64(1000 + k))))
         cols.append(_slot(mix((p[e] - p[back]) * inverse[back] + np.uint64(2000 + k))))
-    edge = np.where(w.data <= 0x20, 0x20, w.data).astype(np.uint64)
-    edge = np.concatenate((np.array([0x20], np.uint64), edge, np.array([0x20, 0x20], np.uint64)))
-    code = edge[:-2] << np.uint64(16) | edge[1:-1] << np.uint64(8) | edge[2:]  # code[i] begins at byte i - 1
+    edge = np.where(w.data <= 0x20, 0x20, w.data).astype(np.uint32)
+    edge = np.concatenate((np.array([0x20], np.uint32), edge, np.array([0x20], np.uint32)))
+    begin = np.concatenate((np.zeros(1, np.int64), np.cumsum(e - s)))
+    at = np.arange(begin[-1]) - np.repeat(begin[:-1] - s, e - s)  # every byte of the words
+    code = edge[at] << np.uint32(16) | edge[at + 1] << np.uint32(8) | edge[at + 2]  # with an edge byte at each side
     grams = _slot((code + np.uint64(0x3000000)) * np.uint64(0x9E3779B97F4A7C15))
-    return np.stack(cols, 1), grams, s, e
+    return np.stack(cols, 1), grams, begin[:-1]
+
+
+def distinct(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each different word, and for every word the number of its own."""
+    return np.unique(w.hash, return_index=True, return_inverse=True)[1:]
 
 
 def emissions(w: Words, weights: np.ndarray) -> np.ndarray:
-    """Scores words x languages."""
-    slots, grams, s, e = features(w)
+    """Scores words x languages: a word's depend on the word alone, so each different one is scored once."""
+    some, which = distinct(w)
+    slots, grams, begin = features(w, some)
     out = weights[slots[:, 0]]
     for k in range(1, slots.shape[1]):
         out += weights[slots[:, k]]
-    if len(s):
-        bounds = np.stack((s, e), 1).ravel()  # trigrams s..e-1 hold the word with an edge byte at each side
-        out += np.add.reduceat(weights[grams], bounds, axis=0)[::2]
-    return out
+    if len(some):
+        out += np.add.reduceat(weights[grams], begin, axis=0)
+    return out[which]
 
 
 def chains(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,12 +160,12 @@ def train(texts: list[tuple[str, str]], seed: int = 7) -> Model:
     w = Words([b" ".join(x) for x in seqs])
     y = np.concatenate([np.array(x) for x in labels])
     begin, length = chains(w.first)
-    slots, grams, s, e = features(w)
-    word_of = np.repeat(np.arange(len(s)), e - s)
-    gram_at = np.concatenate([np.arange(a, b) for a, b in zip(s, e, strict=True)])
-    flat = np.concatenate((slots.ravel(), grams[gram_at]))
-    owner = np.concatenate((np.repeat(np.arange(len(s)), slots.shape[1]), word_of))
-    inside = np.ones(len(s), bool)
+    some, which = distinct(w)
+    slots, grams, at = features(w, some)
+    flat = np.concatenate((slots.ravel(), grams))
+    owner = np.concatenate((np.repeat(np.arange(len(some)), slots.shape[1]), np.repeat(np.arange(len(some)), np.diff(np.append(at, len(grams))))))
+    words = len(w.start)
+    inside = np.ones(words, bool)
     inside[begin] = False
     seen = np.zeros((k, k))
     np.add.at(seen, (y[np.flatnonzero(inside) - 1], y[inside]), 1)
@@ -163,11 +173,11 @@ def train(texts: list[tuple[str, str]], seed: int = 7) -> Model:
     weights, moves = np.zeros((1 << TABLE_BITS, k), np.float32), np.zeros((k, k))
     state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(moves), np.zeros_like(moves)]
     for step in range(1, ROUNDS + 1):
-        scores = np.zeros((len(s), k), np.float32)
+        scores = np.zeros((len(some), k), np.float32)
         for c in range(k):
-            scores[:, c] = np.bincount(owner, weights[flat, c], len(s))
-        post, _, expected = forward_backward(scores, begin, length, moves, pairs=True)
-        miss = truth - post
+            scores[:, c] = np.bincount(owner, weights[flat, c], len(some))
+        post, _, expected = forward_backward(scores[which], begin, length, moves, pairs=True)
+        miss = np.stack([np.bincount(which, (truth - post)[:, c], len(some)) for c in range(k)], 1)
         grad = np.stack([np.bincount(flat, miss[owner, c], 1 << TABLE_BITS) for c in range(k)], 1).astype(np.float32) - 0.05 * weights
         for x, g, m, v in ((weights, grad, *state[:2]), (moves, seen - expected - 0.05 * moves, *state[2:])):
             m *= 0.9
@@ -196,20 +206,22 @@ def training_sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: st
         for batch in batches:
             rows = []
             for lang, at, text in zip(*(batch.column(c) for c in ("lang", "place", TEXT)), strict=True):
-                words = text.as_py().split()
+                words, parts = text.as_py().split(), []
                 for k in range(CHUNKS):
                     begin = max(0, (len(words) - CHAIN) * (2 * k + 1) // (2 * CHUNKS)) if len(words) > CHAIN else 0
-                    part = b" ".join(x[:200] for x in words[begin : begin + CHAIN])
-                    rows.append((lang.as_py(), at.as_py(), part.decode("utf-8", "replace")))
+                    parts.append(b" ".join(x[:WORD_BYTES] for x in words[begin : begin + CHAIN]).decode("utf-8", "replace"))
                     if len(words) <= CHAIN:
                         break
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["lang", "place", "part"])
-
-    made = cut(near.mapInArrow(chunks, "lang string, place long, part string").groupBy("lang", "place").agg(F.collect_list("part").alias("parts")), "sample")
-    out = []
-    for lang in sorted(counts):
-        out += [(lang, p) for r in made.where(F.col("lang") == lang).orderBy("place").limit(DOCS_PER_LANGUAGE).collect() for p in r["parts"]]
-    return out
+                rows.append((lang.as_py(), at.as_py(), parts))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.list_(pa.string())))], names=["lang", "place", "parts"])
+
+    made = near.mapInArrow(chunks, "lang string, place long, parts array<string>")
+    # rows that repeat an id, or share its hash, count once
+    made = cut(made.groupBy("lang", "place").agg(F.min("parts").alias("parts")), "sample")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place"))  # of about 2 * DOCS_PER_LANGUAGE rows
+    rows = made.withColumn("rank", first).where(F.col("rank") <= DOCS_PER_LANGUAGE).orderBy("lang", "rank").select("lang", "parts").collect()
+    release(made)
+    return [(r["lang"], p) for r in rows for p in r["parts"]]
 
 
 def _has_letter(text: bytes) -> bool:
