@@ -27,6 +27,9 @@ starts AS (SELECT DISTINCT doc_id, item_id, n, greatest(0, least(diag + k, dn -
 win AS (SELECT DISTINCT w.doc_id, w.item_id, w.start, d.s, strlen(d.s) - 4 AS weight FROM starts w JOIN ds d ON d.doc_id = w.doc_id AND d.pos BETWEEN w.start AND w.start + w.n - 5),
 sums AS (SELECT win.doc_id, win.item_id, win.start, sum(win.weight) AS own, coalesce(sum(win.weight) FILTER (iset.s IS NOT NULL), 0) AS common FROM win LEFT JOIN iset ON iset.item_id = win.item_id AND iset.s = win.s GROUP BY ALL),
 scored AS (SELECT doc_id, item_id, start, common::DOUBLE / (own + total - common) AS similarity FROM sums JOIN isum USING (item_id)),
+short AS (SELECT doc_id, item_id, list_contains(list_transform(range(1, greatest(1, len(d.ws) - len(i.ws) + 2)), lambda k: d.ws[k:k + len(i.ws) - 1]), i.ws) AS has,
+  list_position(list_transform(range(1, greatest(1, len(d.ws) - len(i.ws) + 2)), lambda k: d.ws[k:k + len(i.ws) - 1]), i.ws) - 1 AS start FROM (SELECT * FROM iw WHERE len(ws) BETWEEN 1 AND 4) i JOIN dw d ON true),
 best AS (SELECT * FROM scored WHERE similarity + 1e-12 >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1)
 SELECT doc_id, item_id, round(similarity, 9) AS similarity, start AS start_word, least(len(iw.ws), len(dw.ws) - start) AS n_words FROM best JOIN iw USING (item_id) JOIN dw USING (doc_id)
+UNION ALL SELECT doc_id, item_id, 1.0 AS similarity, start AS start_word, len(iw.ws) AS n_words FROM short JOIN iw USING (item_id) WHERE has
 """

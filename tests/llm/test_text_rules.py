@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from lodestone.llm.decontaminate import Index, contaminated
+from lodestone.llm.decontaminate import RADIUS, Group, Index, contaminated
 from lodestone.llm.language_id import chains, forward_backward, identify
 from lodestone.llm.quality import js_distance, quality
 from lodestone.llm.secret_scan import RULES, Rule, digest, scan_versions
@@ -38,6 +38,8 @@ def brute_hits(docs, items):
         for i, it in items:
             item = WORDS.findall(low(it or ""))
             if len(item) < 5:
+                if item and any(words[s : s + len(item)] == item for s in range(len(words))):
+                    out.add((d, i, 1.0))
                 continue
             best = max((similarity(words[s : min(len(words), s + len(item))], item) for s in range(max(1, len(words) - 4))), default=0)
             if best >= 0.8 - 1e-12:
@@ -49,7 +51,7 @@ def test_decontamination_equals_brute_force(spark):
     vocabulary = [f"w{i}" for i in range(500)]
     text = lambda k: RND.choices(vocabulary, k=k)
     items = [(i, " ".join(text(RND.randint(15, 60)))) for i in range(30)] + [(90, None), (91, "too short"), (92, ""), (93, " ".join(["a"] * 20)), (94, " ".join(["a"] * 20))]
-    docs = [(0, None), (1, ""), (2, "a " * 400), (3, "just some words here"), (4, items[0][1].upper()), (5, " ".join(items[1][1].split()[:-1])), (6, " ".join(text(30000) + items[2][1].split()))]
+    docs = [(0, None), (1, ""), (2, "a " * 400), (3, "it is Too\nshort here"), (7, "too"), (8, "short too"), (4, items[0][1].upper()), (5, " ".join(items[1][1].split()[:-1])), (6, " ".join(text(4000) + items[2][1].split()))]
     for d in range(10, 60):
         words = RND.choice(items[:30])[1].split()
         for _ in range(RND.choice([0, 0, 1, 1, 2])):
@@ -60,21 +62,52 @@ def test_decontamination_equals_brute_force(spark):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     want = brute_hits(docs, items)
     assert any(0.8 <= s < 0.99 for _, _, s in want) and {(2, 93), (2, 94)} <= {(d, i) for d, i, _ in want}
-    for block_bytes in (16 << 20, 1500):
-        rows = contaminated(df, benchmark, block_bytes=block_bytes).collect()
+    assert (3, 91, 1.0) in want
+    for block_items in (4096, 10):
+        rows = contaminated(df, benchmark, block_items=block_items).collect()
         assert len(rows) == len(docs)
         assert {(r["doc_id"], h["item_id"], round(h["similarity"], 9)) for r in rows for h in r["hits"]} == want
     assert all(not r["hits"] for r in contaminated(df, benchmark.where("false")).collect())
     assert contaminated(df.where("false"), benchmark).count() == 0
+    named = contaminated(df, benchmark.withColumn("item_id", benchmark["item_id"].cast("string"))).where("size(hits) > 0").collect()
+    assert {(r["doc_id"], h["item_id"]) for r in named for h in r["hits"]} == {(d, str(i)) for d, i, _ in want}
 
 
 def test_index_finds_every_fingerprint_within_the_radius():
-    items = [(i, " ".join(RND.choices("abcdefghij", k=20))) for i in range(200)]
-    index = Index(items, 5, 6)
-    entry = index.lengths[20]
-    probes = np.array([int(p) ^ sum(1 << b for b in RND.sample(range(64), RND.randint(0, 8))) for p in entry.prints for _ in range(3)], np.uint64)
-    want = {(k, i) for k, p in enumerate(probes.tolist()) for i, q in enumerate(entry.prints.tolist()) if bin(p ^ q).count("1") <= 6}
-    assert set(entry.near(probes, 6)) == want
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 1 << 63, 16).astype(np.uint64)
+    group = Group(np.arange(16), prints, RADIUS)
+    probes = np.array([int(p) ^ sum(1 << b for b in RND.sample(range(64), RND.randint(0, 20))) for p in prints for _ in range(40)], np.uint64)
+    want = {(k, i) for k, p in enumerate(probes.tolist()) for i, q in enumerate(prints.tolist()) if bin(p ^ q).count("1") <= RADIUS}
+    got = group.near(probes, probes.view(np.uint16).reshape(-1, 4).T.astype(np.intp))
+    assert set(zip(got[0].tolist(), got[1].tolist(), strict=True)) == want
+
+
+def test_heavy_words_count_in_the_fingerprint():
+    """A shared 2000-byte word and its neighbours make 0.81 and more of the weight, though most words differ."""
+    words = [f"w{i}" for i in range(69)]
+    words[30] = "x" * 2000
+    other = [f"q{i}" for i in range(76)] + words[26:35] + [f"z{i}" for i in range(64)]
+    hits = Index([(7, " ".join(words))], 5, RADIUS).search([" ".join(other).encode()], 0.8)[0]
+    assert len(hits) == 1 and abs(hits[0][1] - max(similarity(other[s : s + 69], words) for s in range(len(other) - 4))) < 1e-9
+
+
+def test_recall_on_changed_items():
+    """Of passages of similarity 0.8 and more after words are changed, put in or left out, 0.9 at least are found, at their best window."""
+    vocabulary = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(RND.choices(vocabulary, k=RND.randint(15, 60)))) for i in range(300)]
+    index, found, there = Index(items, 5, RADIUS), 0, 0
+    for i, t in items:
+        words = t.split()
+        for _ in range(max(1, len(words) // 22)):
+            at = RND.randrange(len(words))
+            words[at : at + RND.choice([0, 1, 1])] = RND.choice([[], ["new"], ["new"]])
+        doc = RND.choices(vocabulary, k=RND.randint(0, 70)) + words + RND.choices(vocabulary, k=RND.randint(0, 70))
+        best = max(similarity(doc[s : s + len(t.split())], t.split()) for s in range(len(doc) - 4))
+        if best >= 0.8:
+            there += 1
+            found += any(x[0] == i and abs(x[1] - best) < 1e-9 for x in index.search([" ".join(doc).encode()], 0.8)[0])
+    assert there > 30 and found >= 0.97 * there
 
 
 # ---------------------------------------------------------------- language
