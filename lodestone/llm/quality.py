@@ -2,17 +2,22 @@
 
 References, from all documents with a language: the histogram of character classes, and that of common words (words with at least
 ``share`` of a language's words, at most ``top``; the rest count as one).  A word that frequent is that frequent in some
-input partition, so each partition reports the words with half that share; those whose reported sum is below half the
-share are out, which leaves at most 2 / share words a language, and these are then counted exactly.
+input partition, so each partition reports the words with half that share (found with a bounded number of counters, whose counts
+are upper bounds); those whose reported sum is below half the share are out, which leaves at most 3 / share words
+a language, and these are then counted exactly.
 
-A document is compared with the reference of its ``lang`` and, where that is unknown or unlike it, with all others; the nearest counts.
-It is dropped if the Jensen-Shannon distance (base 2, so 0 to 1) of either histogram exceeds its limit.  Short texts
-have noisy histograms: under ``least_chars`` code points the classes, and under ``least_words`` words the common
-words, are not judged.
+A document is compared with its own language's reference (``lang``).  Another language's clears it only if it lies within
+``other`` of the limits there: that is for texts with a wrong or unknown ``lang``, and keeps junk that is by chance a little
+nearer to another language.  It is dropped if the Jensen-Shannon distance (base 2, so 0 to 1) of either histogram exceeds its limit.
+
+Length guards: a histogram of n words in k bins has a squared distance of about k / (8 ln 2 n) from its own source, so that much is
+taken off the squared distance of the common words, and ``char_noise`` / n off that of the classes.  Texts of fewer than ``least_words``
+words are not judged by histograms at all (the base rules drop them).
 
 Base rules come first: fewer than 10 words, or more than 20 per cent of the words in five-word windows that the text
 repeats.  Null and empty texts have no words and fail them.  Words are ``[^\\x20\\x09-\\x0D]+``; case counts.  An
-empty table has no references and no rows.  Repeated rows get equal results.
+empty table has no references and no rows.  Repeated rows get equal results; of equal distances the first language's counts.  An output
+column wins over a kept one of its name.
 """
 
 from __future__ import annotations
@@ -116,16 +121,19 @@ def references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang
     spark, source = docs.sparkSession, _texts(docs, lang_col, text_col)
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, totals = defaultdict(list), defaultdict(int)
+        seen, totals, missed = defaultdict(list), defaultdict(int), defaultdict(int)
         for part in slices(batches):
             for lang, texts in _by_lang(part):
                 h = Words(texts, lower=False).hash
                 totals[lang] += len(h)
                 seen[lang].append(np.unique(h, return_counts=True))
                 if len(seen[lang]) > 16:
-                    seen[lang] = [_sum(seen[lang])]
+                    *kept, less = bounded(*_sum(seen[lang]), int(8 / share))
+                    seen[lang] = [tuple(kept)]
+                    missed[lang] += less
         for lang, parts in seen.items():
             h, n = _sum(parts)
+            n += missed[lang]
             often = n >= share / 2 * totals[lang]
             yield _rows([(lang, None, totals[lang]), *((lang, int(a), int(b)) for a, b in zip(h[often].view(np.int64), n[often], strict=True))])
 
@@ -172,6 +180,15 @@ def references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang
     return out
 
 
+def bounded(h: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """At most ``size`` counters: all lose the count of the first one too many, which is returned as what may be missing."""
+    if len(n) <= size:
+        return h, n, 0
+    less = int(np.partition(n, len(n) - size - 1)[len(n) - size - 1])
+    left = n > less
+    return h[left], n[left] - less, less
+
+
 def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     h, inverse = np.unique(np.concatenate([a for a, _ in parts]), return_inverse=True)
     return h, np.bincount(inverse, np.concatenate([b for _, b in parts]), len(h)).astype(np.int64)
@@ -208,29 +225,43 @@ def divergences(w: Words, refs: References) -> tuple[np.ndarray, np.ndarray]:
     return np.where(classes.sum(1, keepdims=True) > 0, c, 0), np.where(w.counts[:, None] > 0, np.stack(out, 1), 0)
 
 
-def quality(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", keep: Iterable[str] = ("doc_id",), char_limit: float = 0.30, word_limit: float = 0.44, least_chars: int = 200, least_words: int = 60, share: float = 0.002, top: int = 64) -> DataFrame:
+def verdict(chars: np.ndarray, words: np.ndarray, n_words: np.ndarray, own: np.ndarray, bins: np.ndarray, *, char_limit: float, word_limit: float, char_noise: float, least_words: int, other: float) -> tuple[np.ndarray, np.ndarray]:
+    """For distances texts x languages: the language that counts, and how far the text goes towards its limits (over 1: beyond).
+
+    ``own`` is the number of the text's language, or -1; ``bins`` the number of common words of each language.
+    """
+    n = np.maximum(n_words, 1)[:, None]
+    far = np.maximum(words**2 - bins / (8 * np.log(2) * n), 0) / word_limit**2
+    far = np.maximum(far, np.maximum(chars**2 - char_noise / n, 0) / char_limit**2)
+    far = np.where(n_words[:, None] >= least_words, far, 0)
+    far = far / np.where(np.arange(far.shape[1]) == own[:, None], 1, other)
+    first = np.where((own >= 0) & (far[np.arange(len(n)), own] <= 1), own, far.argmin(1))
+    return first, far[np.arange(len(n)), first]
+
+
+def quality(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", keep: Iterable[str] = ("doc_id",), char_limit: float = 0.18, word_limit: float = 0.265, char_noise: float = 4.0, least_words: int = 10, other: float = 0.8, share: float = 0.002, top: int = 64) -> DataFrame:
     """Kept columns, the base counts, ``base_failed``, ``char_distance``, ``word_distance`` and ``kept``."""
     refs = docs.sparkSession.sparkContext.broadcast(references(docs, text_col=text_col, lang_col=lang_col, share=share, top=top))
+    limits = {"char_limit": char_limit, "word_limit": word_limit, "char_noise": char_noise, "least_words": least_words, "other": other}
 
-    def judge(texts: list[bytes], _: pa.RecordBatch) -> list:
+    def judge(texts: list[bytes], batch: pa.RecordBatch) -> list:
         w = Words(texts, lower=False)
         counts = base_counts(texts, w)
         words = counts["n_words"]
         failed = (words < 10) | (100 * counts["n_repeat_words"] > 20 * words)
-        if refs.value.langs:
+        kept, c, v = ~failed, np.zeros(len(texts)), np.zeros(len(texts))
+        if (langs := refs.value.langs) and len(texts):
+            number = {x: k for k, x in enumerate(langs)}
+            own = np.array([number.get(x, -1) for x in batch.column("__lang").to_pylist()])
             c, v = divergences(w, refs.value)
-            chars = class_counts(w).sum(1)
-            c, v = np.where(chars[:, None] >= least_chars, c, 0), np.where(words[:, None] >= least_words, v, 0)
-            best = np.maximum(c / char_limit, v / word_limit).argmin(1)
-            c, v = c[np.arange(len(texts)), best], v[np.arange(len(texts)), best]
-        else:
-            c = v = np.zeros(len(texts))
-        kept = ~failed & (c <= char_limit) & (v <= word_limit)
+            use, far = verdict(c, v, words, own, np.array([len(x) for x in refs.value.words]), **limits)
+            c, v = c[np.arange(len(texts)), use], v[np.arange(len(texts)), use]
+            kept = kept & (far <= 1)
         return [*(pa.array(x.astype(np.int64)) for x in counts.values()), pa.array(failed), pa.array(c), pa.array(v), pa.array(kept)]
 
     names = [(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     fields = [*names, ("base_failed", T.BooleanType()), ("char_distance", T.DoubleType()), ("word_distance", T.DoubleType()), ("kept", T.BooleanType())]
-    return map_texts(docs, judge, fields, text_col=text_col, keep=keep)
+    return map_texts(docs.withColumn("__lang", F.col(lang_col)), judge, fields, text_col=text_col, keep=[*keep, "__lang"]).drop("__lang")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
