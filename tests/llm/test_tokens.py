@@ -72,6 +72,58 @@ def _sum_after(counts, h, size):
     return (c**2).sum()
 
 
+def packed_plainly(texts, window):
+    """Sequences of one partition's (id, text) pairs: a dictionary of levels, and the sum of squares worked out for each choice."""
+    t, opened, out = Tokenizer.from_file(vocabulary_path()), defaultdict(list), []
+    for doc, text in texts:
+        ids = t.encode(text or "", add_special_tokens=False).ids + [0]
+        for start in range(0, len(ids), window):
+            piece = ids[start : start + window]
+            counts = {h: len(x) for h, x in opened.items() if x}
+
+            def after(h, size=len(piece), counts=counts):
+                c = defaultdict(int, counts)
+                if h:
+                    c[h] -= 1
+                if h + size < window:
+                    c[h + size] += 1
+                return sum(x * x for x in c.values())
+
+            choices = [h for h in {0, *counts} if h + len(piece) <= window]
+            level = min(choices, key=lambda h: (after(h), -h))
+            held = opened[level].pop() if level else []
+            held.append((doc, start, piece))
+            (out if level + len(piece) == window else opened[level + len(piece)]).append(held)
+    rest = [p for h in sorted(opened, reverse=True) for held in opened[h] for p in held]
+    flat = [(doc, start + k, x) for doc, start, piece in rest for k, x in enumerate(piece)]
+    return [[x for _, _, piece in seq for x in piece] for seq in out] + [[x for _, _, x in flat[a : a + window]] for a in range(0, len(flat), window)]
+
+
+def partitions(df):
+    parts = defaultdict(list)
+    for r in df.selectExpr("spark_partition_id() AS part", "doc_id", "text").collect():
+        parts[r["part"]].append((r["doc_id"], r["text"]))
+    return [parts[k] for k in sorted(parts)]
+
+
+def want_slots(df, window):
+    every = [s for part in partitions(df) for s in packed_plainly(part, window)]
+    slots = feistel(np.arange(len(every)), len(every), 20240229)
+    out = [b""] * len(every)
+    for slot, s in zip(slots.tolist(), every, strict=True):
+        out[slot] = np.array(s + [0] * (window - len(s)), "<u2").tobytes()
+    return out
+
+
+def test_sequences_equal_plain_packing(spark):
+    df = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3)
+    got = defaultdict(list)
+    for r in pack(df, window=64).collect():
+        got[r["sequence_id"]].append((r["offset"], bytes(r["ids"])))
+    own = sorted(b"".join(x for _, x in sorted(pieces)) for pieces in got.values())
+    assert own == sorted(np.array(s, "<u4").tobytes() for part in partitions(df) for s in packed_plainly(part, 64))
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 4097])
 def test_feistel_is_a_keyed_bijection(n):
     x = np.arange(n)
@@ -94,7 +146,13 @@ def test_shards_hold_every_sequence_in_slot_order(spark, tmp_path):
     tokens = sum(r["n_tokens"] for r in rows)
     assert tokens == sum(len(reference_ids(t)) + 1 for _, t in ROWS)
     assert training_order(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert {r["part"]: r["shard"] for r in made.selectExpr("spark_partition_id() AS part", "shard_id AS shard").distinct().collect()} == {k: k for k in manifest}
+    assert manifest == {r["shard_id"]: r["n_rows"] for r in write_shards(made, str(tmp_path / "out")).collect()}  # a second try
+    assert want_slots(df, 64) == [bytes(r["ids"]) for r in rows]
     made.unpersist()
+    odd = spark.createDataFrame([("a", "x", 1), ("a", "x", 2), (None, "y", 3)], "doc_id string, text string, slot int")
+    wide = training_order(odd, window=64, id_bytes=4).collect()
+    assert {d for r in wide for d in r["doc_ids"]} == {"a", None} and all(len(r["ids"]) == 256 for r in wide)
 
 
 def test_long_runs_of_one_character(spark):
