@@ -12,7 +12,7 @@ the longest chain, and all joins are on (conversation, turn), so that a conversa
 
 Result, a row per message, in order of (conversation, thread_turn, turn): replies follow what they answer.  ``body`` is the text
 without quoted lines, trimmed; ``rendered`` is the message in chat markup.  Null texts are empty; a message without a
-linked quote starts a thread of its own.  Rows that repeat a (conversation, turn) are kept, each with its own text; as an
+linked quote starts a thread of its own.  An empty table gives no rows; further columns don't matter.  Rows that repeat a (conversation, turn) are kept, each with its own text; as an
 original, the turn counts once.  Messages with a null conversation or turn are kept and linked with nothing.
 """
 
@@ -117,6 +117,17 @@ def op9_chat_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threads(sibling(spark, sf_dir, "conversations"), parts=True)
 
 
+def quoted_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threads of conversations in which each message quotes the two before it, one level deeper for the earlier one."""
+    said = sibling(spark, sf_dir, "conversations")
+    for back in (1, 2):
+        before = said.groupBy("conv_id", (F.col("turn") + back).alias("turn")).agg(F.min("text").alias(f"text_{back}"))
+        said = said.join(before, ["conv_id", "turn"], "left")
+    mark = lambda c, by: F.coalesce(F.concat(F.lit(by), F.replace(c, F.lit("\n"), F.lit("\n" + by)), F.lit("\n")), F.lit(""))
+    text = F.concat(mark(F.col("text_2"), ">> "), mark(F.col("text_1"), "> "), F.lit("\n"), F.coalesce("text", F.lit("")))
+    return threads(said.select("conv_id", "turn", "role", text.alias("text")))
+
+
 OP9_SQL = r"""
 WITH RECURSIVE said AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text,
@@ -158,3 +169,14 @@ SELECT b.conv_id, b.turn, b.role, p.parent_turn, coalesce(r.thread_turn, b.turn)
        '<|' || coalesce(b.role, 'unknown') || '|>' || chr(10) || b.body || '<|end|>' AS rendered
 FROM bodies b LEFT JOIN per p ON p.conv_id = b.conv_id AND p.turn = b.turn LEFT JOIN roots r ON r.conv_id = b.conv_id AND r.turn = b.turn
 """
+
+_BEFORE = "SELECT conv_id, turn + {k} AS turn, min(text) AS text_{k} FROM conversations GROUP BY ALL"
+_MARK = "coalesce('{by}' || replace({c}, chr(10), chr(10) || '{by}') || chr(10), '')"
+QUOTED_THREADS_SQL = OP9_SQL.replace(
+    "WITH RECURSIVE said AS (",
+    f"""WITH RECURSIVE quoted AS (
+  SELECT conv_id, turn, role, {_MARK.format(by=">> ", c="text_2")} || {_MARK.format(by="> ", c="text_1")} || chr(10) || coalesce(text, '') AS text
+  FROM conversations LEFT JOIN ({_BEFORE.format(k=1)}) one USING (conv_id, turn) LEFT JOIN ({_BEFORE.format(k=2)}) two USING (conv_id, turn)
+), said AS (""",
+    1,
+).replace("AS quotes FROM conversations", "AS quotes FROM quoted")

@@ -6,18 +6,22 @@ representative text per unseen blob, however many paths and versions share it -
 paths by content address.
 
 Spans are code points, end exclusive.  Per rule, matches are leftmost and do not overlap; their positions follow from the lengths of
-the matches and of the gaps between them.  Null texts count as empty.  Repeated rows give repeated results.
+the matches and of the gaps between them, summed in runs of RUN matches, so that the work grows with the matches (to the power of
+1.5 at most, whatever one text holds).  Null texts count as empty, and null paths are a path.  Repeated rows give repeated results; of
+matches that start at the same place the first rule's comes first.  Columns other than path and text don't matter, and an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import cut
+from .base import cut, shared_dir
 
 
 @dataclass(frozen=True)
@@ -46,6 +50,10 @@ RULES = (
 )
 
 
+#: Matches whose positions are summed at a time; sums of runs are then added up.
+RUN = 256
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
     """array<struct<start: int, end: int>> of a rule's matches."""
     pattern = F.lit(rule.pattern)
@@ -60,8 +68,29 @@ def spans_of(text: Column, rule: Rule) -> Column:
         one = F.array(F.struct(start.alias("start"), end.alias("end")))
         return F.struct(end.alias("at"), (F.concat(acc["out"], F.when(F.length(x["part"]) >= rule.least, one).otherwise(none))).alias("out"))
 
-    walked = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(rule.pattern), walked).otherwise(none)
+    def walked(part: Column) -> Column:
+        return F.aggregate(part, F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def joined(acc: Column, x: Column) -> Column:
+        moved = F.transform(x["out"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end")))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    def whole(r: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / RUN).cast("int")), lambda k: walked(F.slice(r, k * RUN + 1, RUN)))
+        nested = F.array().cast("array<array<struct<start:int,end:int>>>")
+        return F.flatten(F.aggregate(parts, F.struct(F.lit(0).alias("at"), nested.alias("out")), joined, lambda acc: acc["out"]))
+
+    # one element, so that the matches are found once and named r
+    return F.when(text.rlike(rule.pattern), F.transform(F.array(rows), whole)[0]).otherwise(none)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """What earlier runs have appended at ``path``."""
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def append_ledger(fresh: DataFrame, path: str) -> None:
+    fresh.write.mode("append").parquet(path)
 
 
 LEDGER = "blob string, rule string, version int, spans array<struct<start:int,end:int>>"
@@ -100,9 +129,14 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digest(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """The findings of each document as counts, a hash over the base spans, and all spans."""
+    return digested(docs, ledger)[0].drop("blob")
+
+
+def digested(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The digest with the content address, and what was scanned for it."""
     order = [r.name for r in RULES]
     found, fresh = scan_versions(docs, ledger, path_col="doc_id")
-    blobs = fresh if ledger is None else found.select("blob", "rule", "version", "spans").distinct().unionByName(fresh).dropDuplicates(["blob", "rule", "version"])
+    blobs = fresh if ledger is None else found.select("blob", "rule", "version", "spans").dropDuplicates(["blob", "rule", "version"])
     place = F.create_map(*(F.lit(x) for k, n in enumerate(order) for x in (n, k)))
     each = blobs.where(F.size("spans") > 0).select("blob", "rule", place[F.col("rule")].alias("kind"), F.explode("spans").alias("s"))
     per = each.groupBy("blob").agg(
@@ -113,7 +147,24 @@ def digest(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     per = per.select("blob", *(f"n_{n}" for n in order[:3]), text(F.filter("all", lambda x: x["kind"] < 3)).alias("base"), text(F.col("all")).alias("spans"))
     keyed = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
     zero = [F.coalesce(f"n_{n}", F.lit(0).cast("long")).alias(f"n_{n}") for n in order[:3]]
-    return keyed.join(per, "blob", "left").select("doc_id", *zero, F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+    out = keyed.join(per, "blob", "left").select("doc_id", "blob", *zero, F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+    return out, fresh
+
+
+#: What a later version of a text ends with, in the query that scans a second version set.
+ROTATED = "\ntoken = 'rotated-0001'"
+
+
+def secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans all documents, appends to a ledger, then scans a second version of all (those of an even number of characters have a line
+    more) against it: the second version's findings, and whether its text had to be scanned."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/ledger-{uuid.uuid4().hex}"
+    append_ledger(scan_versions(docs, path_col="doc_id")[1], path)
+    later = docs.withColumn("text", F.when(F.length("text") % 2 == 0, F.concat("text", F.lit(ROTATED))).otherwise(F.col("text")))
+    out, fresh = digested(later, read_ledger(spark, path))
+    scanned = fresh.select("blob").distinct().withColumn("rescanned", F.lit(True))
+    return out.join(scanned, "blob", "left").select("doc_id", "n_assign", "base_sha256", "spans", F.coalesce("rescanned", F.lit(False)).alias("rescanned"))
 
 
 def _sql_kind(place: int, rule: Rule) -> str:
@@ -141,3 +192,10 @@ SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM texts t LEFT JOIN per USING (doc_id)
 """
+
+_LATER = f"CASE WHEN length(text) % 2 = 0 THEN text || '{ROTATED.replace("'", "''")}' ELSE text END"
+SECRET_LEDGER_SQL = (
+    OP2_SQL.replace("coalesce(text, '') AS t FROM documents", f"coalesce({_LATER}, '') AS t FROM documents")
+    .replace("SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,", "SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign,")
+    .replace("coalesce(spans, '') AS spans\n", "coalesce(spans, '') AS spans, t.t NOT IN (SELECT coalesce(text, '') FROM documents) AS rescanned\n")
+)

@@ -275,3 +275,13 @@ def test_ledger_scans_only_what_is_new(spark):
 @pytest.mark.parametrize("text", ["x" * 200000, "=" * 1000, "token" * 20000])
 def test_long_odd_texts(spark, text):
     assert digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["spans"] == ""
+
+
+def test_many_hits_in_one_text(spark):
+    import time
+
+    text = "AKIA" + "B" * 16 + " token=abcdef\n"
+    began = time.time()
+    spans = digest(spark.createDataFrame([(1, text * 50_000)], "doc_id long, text string")).first()["spans"].split(",")
+    assert time.time() - began < 60
+    assert len(spans) == 100_000 and spans[:2] == ["access:0:20", "assign:21:33"] and spans[-1] == f"assign:{34 * 49_999 + 21}:{34 * 49_999 + 33}"
