@@ -8,22 +8,25 @@ leftmost on ties.  Equal windows have the same anchor at the same place, so all
 hash.  An anchor's context is what its windows cover: up to 48 bytes to its left and 48 to its right.  Only anchors
 that a twice-seen filter suspects of repeating leave the scan.
 
-Copies.  Anchors of equal contexts are counted by hash; all but the one of the smallest document (and, within a document, all but the
-first) repeat in every window.  This settles whole copies and the inside of repeated passages.
+Copies.  Anchors of equal contexts are counted by hash (64 bits of the anchor and 64 of its context stand for their bytes); all
+but the one of the smallest document (and, within a document, all but the first) repeat in every window.  This settles whole copies
+and the inside of repeated passages.
 
 Suffix arrays.  What is left are anchors with several different contexts, one representative each: the ends of repeated
-passages and the places where near copies differ.  A task takes whole groups of such contexts and writes their right
-sides, in blocks of 8 bytes ranked by value, as one sequence: group, blocks, end mark.  Its suffix array, by linear grouping
-(``suffix_array``), puts contexts in the order of what follows the anchor; that of the left sides, read outwards, in
-the order of what precedes it.  Runs of common prefixes in both orders say which windows are equal, and all but the first of
-each class repeat.
+passages and the places where near copies differ.  A task takes whole groups of such contexts and writes their bytes as one
+text: what precedes the anchor, one symbol for the anchor (its group's), what follows, an end mark.  A window of 100 bytes is a
+string of 49 symbols of that text.  Its suffix array, by linear grouping (``suffix_array``), brings equal windows together
+wherever they are; neighbours are compared symbol by symbol, and all but the first of each class of equal windows repeat.
 
 Hot groups.  An anchor with more than ``hot`` contexts (one common passage in many documents) is dealt into ranges of window
 places, of lengths 2, 2, 4, 8, ... from both ends, and in each range by the bytes that its windows share; equal
-shortened contexts are counted by hash as above, so that no group grows with the copies of a passage.
+shortened contexts are counted by hash as above.  A range that still has more than ``hot`` different ones is dealt by single window
+places, where equal keys are equal windows and counting settles the rest.  So a suffix array's group has at most ``hot`` contexts
+of 148 bytes, however many documents share a passage.
 
-Null texts are empty; texts of fewer than 100 bytes lose nothing.  A null id counts as the smallest.  Rows that repeat an id are
-one document and get equal results.  An empty table gives no rows.
+Null texts are empty; texts of fewer than 100 bytes lose nothing.  Ids may be of any type with an order, and a null id counts as the
+smallest.  Rows that repeat an id are one document and get equal results.  An empty table gives no rows; columns other than id and text
+don't matter.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ LENGTH = 100
 K = 52
 SIDE = LENGTH - K  # bytes of context at either side, a multiple of 8
 HOT = 1000
-CHUNK = 20_000
+CHUNK = 2000  # contexts, and what the last group adds, in one suffix array
 BITS = 1 << 28
 
 
@@ -98,49 +101,48 @@ class Anchors:
         return left, right
 
 
-def _common(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Bytes that each row has in common with the one before it; -1 at another group."""
-    same = np.minimum.accumulate(rows[1:] == rows[:-1], axis=1).sum(1)
-    return np.concatenate(([-1], np.where(group[1:] == group[:-1], same, -1)))
-
-
-def _ordered(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The contexts in the order of (group, bytes), by a suffix array of their block ranks; and common prefix lengths."""
-    blocks = np.ascontiguousarray(rows).view(">u8")
-    ranks = np.unique(blocks.ravel(), return_inverse=True)[1].reshape(blocks.shape)
-    names = np.unique(group, return_inverse=True)[1]
-    width = blocks.shape[1] + 2
-    text = np.ones((len(rows), width), np.int64)  # 1: the end mark
-    text[:, 0] = 2 + ranks.max() + 1 + names
-    text[:, 1:-1] = 2 + ranks
-    order = suffix_array(text.ravel())
-    order = order[order % width == 0] // width
-    return order, _common(rows[order], group[order])
-
-
 def repeated(group: np.ndarray, left: list[bytes], right: list[bytes], least: np.ndarray, most: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """For each context the window places, as bits, whose window an earlier one (by ``rank``) of its group has too."""
     m = len(group)
     out = np.zeros(m, np.int64)
     if not m:
         return out
-    sides = [np.frombuffer(b"".join(x.ljust(SIDE, b"\0") for x in side), np.uint8).reshape(m, SIDE) for side in (left, right)]
-    (left_order, left_common), (right_order, right_common) = (_ordered(group, s) for s in sides)
-    by_rank = np.argsort(rank, kind="stable")
-    for j in range(SIDE + 1):
-        use = by_rank[(least[by_rank] <= j) & (most[by_rank] >= j)]
-        if len(use) < 2:
-            continue
-        a, b = np.empty(m, np.int64), np.empty(m, np.int64)
-        a[left_order] = np.cumsum(left_common < j)
-        b[right_order] = np.cumsum(right_common < SIDE - j)
-        first = np.unique(a[use] * (m + 1) + b[use], return_index=True)[1]
-        again = np.ones(len(use), bool)
-        again[first] = False
-        out[use[again]] |= np.int64(1) << np.int64(j)
+    names = np.unique(group, return_inverse=True)[1]
+    before, after = (np.fromiter(map(len, side), np.int64, m) for side in (left, right))
+    begin = np.concatenate((np.zeros(1, np.int64), np.cumsum(before + after + 2)))
+    text = np.zeros(begin[-1], np.int32)  # 0: the end mark; 1 .. 256: bytes; beyond: anchors
+    anchor = begin[:-1] + before
+    _fill(text, begin[:-1], before, b"".join(x[::-1] for x in left))
+    text[anchor] = 257 + names
+    _fill(text, anchor + 1, after, b"".join(right))
+    # the windows: of each context one for every place, the bytes before the anchor in it
+    counts = most - least + 1
+    owner = np.repeat(np.arange(m), counts)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + least[owner]
+    at = np.full(len(text), -1, np.int64)
+    at[anchor[owner] - place] = np.arange(len(owner))
+    order = at[suffix_array(text)]
+    order = order[order >= 0]
+    windows = np.lib.stride_tricks.sliding_window_view(text, SIDE + 1)
+    start = (anchor[owner] - place)[order]
+    new = np.ones(len(order), bool)
+    for k in range(1, len(order), 1 << 16):
+        to = min(len(order), k + (1 << 16))
+        new[k:to] = (windows[start[k:to]] != windows[start[k - 1 : to - 1]]).any(1)
+    kind = np.cumsum(new) - 1
+    first = np.full(int(kind[-1]) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, kind, rank[owner[order]])
+    again = rank[owner[order]] != first[kind]
+    np.bitwise_or.at(out, owner[order][again], np.int64(1) << place[order][again])
     return out
 
 
+def _fill(text: np.ndarray, begin: np.ndarray, size: np.ndarray, data: bytes) -> None:
+    """Write ``data``, cut into pieces of ``size``, at the places ``begin``."""
+    end = np.cumsum(size)
+    text[np.arange(len(data)) + np.repeat(begin - (end - size), size)] = np.frombuffer(data, np.uint8).astype(np.int32) + 1
+
+
 MARK = "doc long, p long, mask long"
 
 
@@ -205,11 +207,22 @@ def _dealt(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
         "substring(left, 1, cast(most AS int)) AS left", "substring(right, 1, cast(%d - least AS int)) AS right" % SIDE,
     )
     rows = cut(rows.withColumn("short", F.xxhash64("left", "right", "least", "most")), "ranges")
-    first = rows.groupBy("gkey", "short").agg(F.min(F.struct("doc", "p")).alias("first"))
+    first = cut(rows.groupBy("gkey", "short").agg(F.min(F.struct("doc", "p")).alias("first")), "first")
     rows = rows.join(first, ["gkey", "short"])
     is_first = (F.col("doc") == F.col("first.doc")) & (F.col("p") == F.col("first.p"))
     rest = rows.where(~is_first).selectExpr("doc", "p", "shiftleft(1L, cast(most AS int) + 1) - shiftleft(1L, cast(least AS int)) AS mask")
-    return rest, rows.where(is_first).select("gkey", "doc", "p", "least", "most", "left", "right")
+    return rest, cut(rows.where(is_first).select("gkey", "doc", "p", "least", "most", "left", "right"), "different")
+
+
+def _placed(different: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Of groups that still have more than ``hot`` contexts: the marks of all windows that repeat; and the rows of the others."""
+    sizes = cut(different.groupBy("gkey").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("gkey"), "large")
+    each = different.join(sizes, "gkey").withColumn("j", F.explode(F.expr("sequence(cast(least AS int), cast(most AS int))")))
+    window = (F.col("gkey"), F.col("j"), F.expr("substring(left, 1, j)"), F.expr(f"substring(right, 1, {SIDE} - j)"))
+    each = cut(each.select("doc", "p", "j", F.xxhash64(*window).alias("a"), F.xxhash64(F.lit(1), *window).alias("b")), "windows")
+    first = cut(each.groupBy("a", "b").agg(F.min(F.struct("doc", "p")).alias("first")), "first")
+    again = each.join(first, ["a", "b"]).where("doc <> first.doc OR p <> first.p").selectExpr("doc", "p", "shiftleft(1L, j) AS mask")
+    return again, different.join(sizes, "gkey", "left_anti")
 
 
 def marks(source: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
@@ -254,9 +267,12 @@ def marks(source: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
 
     rows = source.mapInArrow(contexts, "kmer long, ctx long, doc long, p long, least long, most long, left binary, right binary")
     rows = cut(rows.join(firsts.withColumnRenamed("first", "doc"), ["kmer", "ctx", "doc"]), "sides")
+    suspected.destroy()
+    wanted.destroy()
     rest, different = _dealt(rows.where(F.col("m") > hot))
+    again, different = _placed(different, hot)
     cold = rows.where(F.col("m") <= hot).select(F.col("kmer").alias("gkey"), "doc", "p", "least", "most", "left", "right")
-    return settled.unionByName(rest).unionByName(_sorted_out(cold.unionByName(different)))
+    return settled.unionByName(rest).unionByName(again).unionByName(_sorted_out(cold.unionByName(different)))
 
 
 def covered(size: int, p: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -271,12 +287,20 @@ def covered(size: int, p: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``doc``, an integer in the order of the ids."""
+    if isinstance(docs.schema["id"].dataType, T.IntegralType):
+        return docs.withColumn("doc", F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))))
+    ranks = cut(docs.select("id").distinct().orderBy("id").select(F.col("id").alias("known"), F.monotonically_increasing_id().alias("doc")), "ranks")
+    return docs.join(ranks, F.col("id").eqNullSafe(F.col("known")), "left").drop("known")
+
+
 def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, hot: int = HOT) -> DataFrame:
     """The id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (the remaining bytes) of every document."""
     spark = docs.sparkSession
     small_batches(spark)
-    low = -(1 << 63)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("doc"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias(TEXT))
+    docs = _numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    rows = docs.select("id", "doc", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias(TEXT))
     found = marks(rows.select("doc", TEXT), bits, hot)
     lists = cut(found.groupBy("doc").agg(F.collect_list(F.struct("p", "mask")).alias("marks")), "marks")  # one document's
     for _ in range(2):  # shuffle files of what is written go before the texts move

@@ -85,3 +85,53 @@ def test_empty_table_and_repeated_rows(spark):
     assert drop_repeats(spark.createDataFrame([], "doc_id long, text string"), bits=1 << 18).count() == 0
     twice = spark.createDataFrame([(1, "ab" * 90), (1, "ab" * 90)], "doc_id long, text string")
     assert {(r["n_removed"], r["n_spans"]) for r in drop_repeats(twice, bits=1 << 18).collect()} == {(178, 1)}
+
+
+def test_removing_the_order_breaks_the_result(monkeypatch):
+    """Equal windows meet only through the suffix array's order."""
+    from lodestone.llm import suffix_dedup
+
+    rnd = random.Random(1)
+    piece = lambda n: bytes(rnd.randrange(97, 123) for _ in range(n))
+    shared = piece(20)
+    left, right = [shared + piece(28) for _ in range(300)], [piece(48) for _ in range(300)]
+    for k in range(0, 300, 3):
+        right[k] = right[0][:28] + piece(20)
+    ones, rank = np.ones(300, np.int64), np.arange(300)
+    args = (ones, left, right, 0 * ones, 48 * ones, rank)
+    got = suffix_dedup.repeated(*args)
+    assert [x != 0 for x in got] == [k % 3 == 0 and k > 0 for k in range(300)] and got[3] == 1 << 20
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda text: rng.permutation(len(text)))
+    rng = np.random.default_rng(1)
+    assert (suffix_dedup.repeated(*args) != got).any()
+
+
+def test_hot_groups_are_dealt_until_they_are_small(spark):
+    """200,000 different contexts of one anchor: every group that is left has at most ``hot``, and nothing is lost."""
+    from pyspark.sql import functions as F
+
+    from lodestone.llm.suffix_dedup import SIDE, _dealt, _placed
+
+    n = 200_000
+    tail = "sha2(cast(id AS string), 256)"
+    hot = spark.range(n).selectExpr("7L AS kmer", "id AS doc", "0L AS p", "0L AS least", "48L AS most", f"encode(concat(repeat('a', 11), substring({tail}, 1, 37)), 'utf-8') AS left", "encode(repeat('z', 48), 'utf-8') AS right")
+    rest, different = _dealt(hot)
+    again, left = _placed(different, 1000)
+    assert left.groupBy("gkey").count().agg(F.max("count")).first()[0] <= 1000
+    marks = rest.unionByName(again).groupBy("doc").agg(F.expr("bit_or(mask)").alias("m"))
+    # places 0 to 11 repeat in all documents but the first; later ones where hex digits agree, which for 20 is chance alone
+    assert marks.where("m & 4095 = 4095").count() == n - 1 and SIDE == 48
+    want = spark.range(n).selectExpr("id", f"substring({tail}, 1, 4) AS part").groupBy("part").agg(F.count("*").alias("c")).agg(F.sum(F.col("c") - 1)).first()[0]
+    assert marks.where(F.expr("shiftright(m, 15) & 1 = 1")).count() == want
+
+
+def test_many_documents_with_one_passage(spark):
+    from lodestone.llm.suffix_dedup import drop_repeats
+
+    rnd = random.Random(4)
+    passage = "".join(rnd.choices("abcdefgh ", k=160))
+    rows = [(i, "%020x" % rnd.getrandbits(80) + passage + "%06x" % rnd.getrandbits(24)) for i in range(5000)]
+    want = brute(rows)
+    df = spark.createDataFrame([(str(i).zfill(8), t) for i, t in rows], "doc_id string, text string").repartition(4)
+    got = {int(r["doc_id"]): (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in drop_repeats(df, bits=1 << 20, hot=100).collect()}
+    assert got == want
