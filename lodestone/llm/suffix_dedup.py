@@ -107,6 +107,15 @@ def repeated(group: np.ndarray, left: list[bytes], right: list[bytes], least: np
     out = np.zeros(m, np.int64)
     if not m:
         return out
+    # places at which no other context of the group can have the same window are left out, and so are the bytes for them alone
+    least = np.maximum(least, SIDE - _shared(group, right))
+    most = np.minimum(most, _shared(group, left))
+    use = np.flatnonzero(least <= most)
+    if len(use) < m:
+        out[use] = repeated(group[use], [left[k] for k in use], [right[k] for k in use], least[use], most[use], rank[use])
+        return out
+    left = [x[:k] for x, k in zip(left, most.tolist(), strict=True)]
+    right = [x[: SIDE - k] for x, k in zip(right, least.tolist(), strict=True)]
     names = np.unique(group, return_inverse=True)[1]
     before, after = (np.fromiter(map(len, side), np.int64, m) for side in (left, right))
     begin = np.concatenate((np.zeros(1, np.int64), np.cumsum(before + after + 2)))
@@ -137,6 +146,18 @@ def repeated(group: np.ndarray, left: list[bytes], right: list[bytes], least: np
     return out
 
 
+def _shared(group: np.ndarray, side: list[bytes]) -> np.ndarray:
+    """At least as many bytes of each side as another one of its group begins with (and fewer than 8 more)."""
+    blocks = np.frombuffer(b"".join(x.ljust(SIDE, b"\0") for x in side), ">u8").reshape(len(side), -1).astype(np.uint64)
+    h, out, alike = mix(group.view(np.uint64)), np.full(len(side), 7), np.ones(len(side), bool)
+    for k in range(blocks.shape[1]):
+        h = mix(h ^ mix(blocks[:, k] + np.uint64(k + 1)))
+        _, which, counts = np.unique(h, return_inverse=True, return_counts=True)
+        alike = alike & (counts[which] > 1)
+        out[alike] = 8 * k + 15
+    return np.minimum(out, SIDE)
+
+
 def _fill(text: np.ndarray, begin: np.ndarray, size: np.ndarray, data: bytes) -> None:
     """Write ``data``, cut into pieces of ``size``, at the places ``begin``."""
     end = np.cumsum(size)
