@@ -1,6 +1,6 @@
 """Benchmark decontamination: SimHash of item-sized windows, a multi-index over Hamming blocks, exact verification.
 
-For each length L of the benchmark items (lengths within a sixteenth share their middle one), every window of L words of every
+For each length L of the benchmark items (lengths within an eighth share their middle one), every window of L words of every
 document gets a 64-bit SimHash of its five-word shingles, each with the weight of its bytes, and is looked up among these items.  The index has a table
 for each of the fingerprint's 4 blocks of 16 bits, in which an item stands under every value within ``radius // 4`` bits of its
 own: two fingerprints within ``radius`` differ by no more than that in one block at least, so all of them are found.
@@ -9,7 +9,7 @@ What is found is verified exactly: the weighted Jaccard similarity of the shingl
 ``percent``, at the window found or one up to an eighth of the item's length away (the best counts, the earliest on ties).  A
 found window near which too few bytes of benchmark shingles lie to reach it is put aside without a look at the item.
 
-Windows of 80 per cent have a cosine of 0.87 to 0.89, and so differ from the item in about 10 bits with a deviation of
+Windows of 80 per cent have a cosine of 0.86 to 0.89, and so differ from the item in about 10 bits with a deviation of
 3; the radius is 15, and a passage is missed only if all windows around it fall outside.  Weights count in the fingerprint as in the
 similarity, so neither very long words nor very short ones change that.
 
@@ -104,10 +104,10 @@ class Group:
 
 
 def near_lengths(lengths: list[int]) -> list[tuple[int, int]]:
-    """Ranges of lengths, of which the longest is at most a sixteenth longer than the shortest."""
+    """Ranges of lengths, of which the longest is at most an eighth longer than the shortest."""
     out: list[list[int]] = []
     for x in sorted(set(lengths)):
-        if out and x <= out[-1][0] + out[-1][0] // 16:
+        if out and x <= out[-1][0] + out[-1][0] // 8:
             out[-1][1] = x
         else:
             out.append([x, x])
