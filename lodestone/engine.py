@@ -5,19 +5,19 @@ from __future__ import annotations
 import json
 import os
 import threading
+from collections.abc import Callable
 from concurrent.futures import Future, ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .index import Index
+from .index import COLUMNS, Index
 from .operators import changes, graph, routing, search, workspace
 from .settings import Settings
 from .sources import tree, vcs
 from .streaming.watch import Watchers
 
-COLUMNS = ["name", "content", "file_path", "chunk_type"]
 
 
 def rows(df: DataFrame) -> list[dict]:
@@ -38,8 +38,8 @@ class Engine:
 
     # ------------------------------------------------------------ indexing
 
-    def rag_index(self, path: str, force: bool = False) -> dict:
-        return self.index_of(path).update(force)
+    def rag_index(self, path: str, force: bool = False, progress: Callable[[int, int, str], None] | None = None) -> dict:
+        return self.index_of(path).update(force, progress)
 
     def ensure_index(self, path: str, wait: float | None = None) -> dict | None:
         """Index a project that has none yet, waiting at most ``wait`` seconds.
@@ -86,7 +86,7 @@ class Engine:
 
     def _search(self, index: Index, query: str, top_k: int, path_filter: str | None = None, language: str | None = None) -> DataFrame:
         vector = [float(x) for x in index.encoder(pd.Series([query]))[0]]
-        hits = search.hybrid(index.table("chunks"), index.table("vectors"), query, vector, top_k, columns=COLUMNS, path_filter=path_filter, language=language)
+        hits = search.hybrid(index.table("chunks"), index.table("vectors"), query, vector, top_k, columns=COLUMNS, path_filter=path_filter, language=language, index=index.table("postings"), stats=index.table("doc_stats"))
         return search.enriched(search.shaped(search.hydrated(hits, index.table("chunks"))), index.table("calls"))
 
     def rag_source(self, chunk_id: int, path: str) -> dict:

@@ -2,7 +2,8 @@
 
 A run scans the tree, diffs content hashes, parses and encodes what is new or changed, and writes the next version of every table:
 rows of unchanged files are copied over, rows of changed and removed files are not (copy on write by an anti-join on the
-file path).  Readers see a version or the next, never a mixture.
+file path).  Readers see a version or the next, never a mixture; the version before the current one stays for those who have begun.
+Postings (stemmed, by term) and chunk lengths are stored too, so that a search reads its terms' rows and not the texts.
 """
 
 from __future__ import annotations
@@ -10,12 +11,14 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.vectors import encoded, hashing_encoder
+from .operators import search
 from .operators.incremental import needs_update, replaced
 from .parse.files import parsed, tables
 from .schema import TABLES
@@ -23,6 +26,8 @@ from .settings import Settings
 from .sources.tree import scan
 
 KEYS = {"files": "path"}
+#: What keyword search reads; the postings are made of these.
+COLUMNS = ["name", "content", "file_path", "chunk_type"]
 
 
 class Index:
@@ -47,13 +52,12 @@ class Index:
     def _swap(self, meta: dict) -> None:
         store, base = self._store()
         store.create_dir(base, recursive=True)
-        temp = f"{base}/.{uuid.uuid4().hex}"
+        temp, old = f"{base}/.{uuid.uuid4().hex}", self.meta()
         with store.open_output_stream(temp) as f:
-            f.write(json.dumps(meta).encode())
-        old = self.meta().get("version")
+            f.write(json.dumps(meta | {"before": old.get("version")}).encode())
         store.move(temp, f"{base}/current.json")
-        if old and old != meta["version"]:
-            store.delete_dir(f"{base}/{old}")
+        if old.get("before"):  # the version just replaced stays for its readers
+            store.delete_dir(f"{base}/{old['before']}")
 
     def table(self, name: str) -> DataFrame:
         version = self.meta().get("version")
@@ -72,9 +76,20 @@ class Index:
 
     # ------------------------------------------------------------ indexing
 
-    def update(self, force: bool = False) -> dict:
-        """Bring the index up to date: counts of indexed, skipped and removed files, of chunks, and seconds."""
+    def update(self, force: bool = False, progress: Callable[[int, int, str], None] | None = None) -> dict:
+        """Bring the index up to date: counts of indexed, skipped and removed files, of chunks, and seconds.
+
+        ``progress`` is told (done, steps, message) as the steps end.
+        """
         began = time.time()
+        steps, done = 4, 0
+
+        def told(message: str) -> None:
+            nonlocal done
+            done += 1
+            if progress is not None:
+                progress(done, steps, message)
+
         store, base = fs.FileSystem.from_uri(self.root) if "://" in self.root else (fs.LocalFileSystem(), self.root)
         if store.get_file_info(base).type != fs.FileType.Directory:
             raise ValueError(f"Not a directory: {self.root}")
@@ -88,6 +103,7 @@ class Index:
         gone = known.select("path").join(current.select("path"), "path", "left_anti").persist()
         n_changed, n_gone, n_all = changed.count(), gone.count(), current.count()
         out = {"indexed": n_changed, "skipped": n_all - n_changed, "removed": n_gone, "chunks": 0}
+        told(f"{n_all} files listed, {n_changed} to index")
         if n_changed or n_gone or not self.exists:
             rows = parsed(changed, self.settings).persist()
             new = tables(rows)
@@ -97,8 +113,16 @@ class Index:
                 replaced(self.table(name), new[name], stale, KEYS.get(name, "file_path")).write.parquet(f"{target}/{name}")
             fresh = self.spark.read.schema(TABLES["chunks"]).parquet(f"{target}/chunks").join(changed.select(F.col("path").alias("file_path")), "file_path", "left_semi")
             out["chunks"] = fresh.count()
+            told(f"{out['chunks']} chunks parsed")
             vectors = fresh.select("id", "file_path", encoded(F.concat_ws("\n", "name", "content"), self.encoder).alias("embedding"))
             replaced(self.table("vectors"), vectors, stale).write.parquet(f"{target}/vectors")
+            told("vectors written")
+            words = search.postings(fresh, COLUMNS, stem=True).join(fresh.select("id", "file_path"), "id")
+            words = replaced(self.table("postings"), words, stale)
+            words.repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(f"{target}/postings")  # a term's rows stand together
+            stats = search.doc_stats(fresh, COLUMNS, diacritics=True).join(fresh.select("id", "file_path"), "id")
+            replaced(self.table("doc_stats"), stats, stale).write.parquet(f"{target}/doc_stats")
+            told("postings written")
             rows.unpersist()
             self._swap({"version": version, "root": self.root, "dim": self.settings.dim, "last_indexed": time.time()})
         for df in (current, changed, gone):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .search import like_path
@@ -86,15 +86,25 @@ def dead_code(symbols: DataFrame, calls: DataFrame, path_filter: str | None = No
     return found if limit is None else found.limit(limit)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """A durable copy, in the folder that driver and executors share."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The application's folder below the one that driver and executors share; a temporary one only for a local session that names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="lodestone-graph-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/graph-{uuid.uuid4().hex}"
+    out = f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)  # with the session
+    return out
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """A durable copy, in the folder that driver and executors share."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -15,7 +15,7 @@ from ..functions.lines import file_header, split_lines, truncate, windows
 from ..functions.text import sanitize
 from ..operators import changes, graph, incremental, routing, search, workspace
 from ..settings import EXCLUDED_DIRS, EXCLUDED_EXTENSIONS, EXCLUDED_NAMES, HEADER_PREFIXES
-from ..sources.tree import allowed
+from ..sources.tree import allowed, ignore_rules, ignored, watched
 from ..streaming.watch import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,7 +125,7 @@ cut AS (SELECT *, CASE WHEN lim <= 0 OR length(body) <= lim OR len(lines) <= fit
 """
 
 
-@query(f"WITH src AS (SELECT doc_id, coalesce(text, '') AS body, 700 AS lim FROM documents WHERE n_chars < 20000), {TRUNCATE_SQL} SELECT doc_id, snippet FROM cut")
+@query(f"WITH src AS (SELECT doc_id, coalesce(text, '') AS body, 700 AS lim FROM documents), {TRUNCATE_SQL} SELECT doc_id, snippet FROM cut")
 def snippet_truncate(spark, d):
     return table(spark, d, "documents").select("doc_id", truncate(F.coalesce("text", F.lit("")), 700).alias("snippet"))
 
@@ -284,7 +284,7 @@ def hybrid_rrf_filtered(spark, d):
 
 # ---------------------------------------------------------------- responses
 
-RESULTS_SQL = f"{CHUNKS_SQL}, results AS (SELECT id, (end_line / 100.0)::DOUBLE AS score, file_path AS file, name, language, content AS snippet FROM chunks WHERE id % 4 = 1)"
+RESULTS_SQL = f"{CHUNKS_SQL}, results AS (SELECT id, (end_line / 100.0)::DOUBLE AS score, file_path AS file, name, language, content AS snippet FROM chunks)"
 
 
 def _results(spark, d):
@@ -438,7 +438,7 @@ def importers(spark, d):
 
 @query(
     f"""WITH {CHUNKS_SQL}, s AS (SELECT doc_id AS chunk_id, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS name, 'function' AS kind, source AS file_path, (doc_id % 10)::INT AS line FROM documents),
-one AS (SELECT * FROM s WHERE name = 'odd' AND chunk_id < 1000000 ORDER BY file_path, line, kind, chunk_id LIMIT 1)
+one AS (SELECT * FROM s WHERE name = 'odd' ORDER BY file_path, line, kind, chunk_id LIMIT 1)
 SELECT one.name, kind, one.file_path AS file, line, start_line, end_line FROM one LEFT JOIN chunks c ON c.id = one.chunk_id"""
 )
 def symbol_lookup(spark, d):
@@ -580,7 +580,7 @@ def workspace_search(spark, d):
 
 FILES_SQL = """
 files AS (SELECT 'proj' || (doc_id % 9) || '/' || ['a.csproj', 'package.json', 'go.mod', 'Makefile', 'main.py', 'x.sln', 'setup.py', 'src/go.mod'][doc_id % 8 + 1] AS path,
-  CASE WHEN doc_id % 8 = 1 THEN ['{"dependencies":{"react":"1"}}', '{"devDependencies":{"express":"1"}}', 'broken', '{"dependencies":{"electron":"1"}}'][doc_id % 9 % 4 + 1] END AS content FROM documents WHERE doc_id < 60
+  CASE WHEN doc_id % 8 = 1 THEN ['{"dependencies":{"react":"1"}}', '{"devDependencies":{"express":"1"}}', 'broken', '{"dependencies":{"electron":"1"}}'][doc_id % 9 % 4 + 1] END AS content FROM documents
   UNION ALL SELECT '.hidden/go.mod', NULL UNION ALL SELECT 'README', NULL)
 """
 PLACE_CASES = " ".join(f"WHEN {f"ends_with(base, '{p[1:]}')" if p[0] == '*' else f"base = '{p}'"} THEN {k}" for k, (p, _, _) in enumerate(workspace.MARKERS))
@@ -655,20 +655,23 @@ def debounce_sessions(spark, d):
     return out.withColumn("first_ts", F.col("first_ts").cast("timestamp_ntz")).withColumn("flush_ts", F.col("flush_ts").cast("timestamp_ntz"))
 
 
-@query(SESSIONS_SQL.replace(", count(DISTINCT event_type) AS n_paths", ""))
+@query(SESSIONS_SQL)
 def streaming_debounce(spark, d):
-    """The same as a stream in one micro-batch and complete output, read back from memory."""
+    """The same as a stream in one micro-batch and complete output, written by the executors below the shared folder."""
     import uuid
 
+    from ..operators.graph import shared_dir
+
     source = table(spark, d, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     stream = stream.select((F.col("user_id") % 50).alias("project"), "ts", F.col("event_type").alias("path"))
-    name = f"debounce_{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/debounce-{uuid.uuid4().hex}"
     flushed = sessions(stream, quiet="1 hour", late="1 hour")
-    run = flushed.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    write = lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/rows")
+    run = flushed.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    out = spark.table(name)
-    return out.select("project", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), F.col("flush_ts").cast("timestamp_ntz").alias("flush_ts"), "n_events")
+    rows = spark.read.parquet(f"{out}/rows")
+    return rows.select("project", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), F.col("flush_ts").cast("timestamp_ntz").alias("flush_ts"), "n_events", "n_paths")
 
 
 @query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN text ELSE decode(encode(text)[11:60]) END AS source FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS text FROM documents)")
@@ -764,3 +767,47 @@ def parse_inheritance(spark, d):
     from ..parse.files import tables
 
     return tables(_parsed(spark, d))["inheritance"].select("file_path", "child_name", "parent_name", "relation", "line")
+
+
+# ---------------------------------------------------------------- filters and lists that need no file system
+
+IGNORE_FILE = "# built\n*.log\n!f3.log\nbuild/\n/src1/docs/**\n"
+IGNORED_PATHS_SQL = "paths AS (SELECT doc_id, source || '/' || ['build', 'docs', 'lib'][doc_id % 3 + 1] || '/f' || (doc_id % 10) || ['.py', '.log'][doc_id // 3 % 2 + 1] AS path FROM documents)"
+
+
+@query(
+    f"""WITH {IGNORED_PATHS_SQL} SELECT doc_id, path FROM paths
+WHERE NOT CASE WHEN starts_with(path, 'src1/docs/') OR contains('/' || path, '/build/') THEN true WHEN ends_with(path, '/f3.log') THEN false ELSE ends_with(path, '.log') END"""
+)
+def gitignore_filter(spark, d):
+    folder = "element_at(array('build', 'docs', 'lib'), cast(doc_id % 3 + 1 as int))"
+    ending = "element_at(array('.py', '.log'), cast(doc_id div 3 % 2 + 1 as int))"
+    paths = table(spark, d, "documents").selectExpr("doc_id", f"concat(source, '/', {folder}, '/f', doc_id % 10, {ending}) AS path")
+    return paths.where(~ignored(F.col("path"), ignore_rules(IGNORE_FILE)))
+
+
+@query(
+    f"""WITH events AS (SELECT doc_id, '/w/' || source || '/' || ['src', 'node_modules', 'dist', 'lib'][doc_id % 4 + 1] || '/f' || doc_id || ['.py', '.pyc', '.png', '.ts'][doc_id // 4 % 4 + 1] AS path FROM documents)
+SELECT doc_id FROM events WHERE starts_with(path, '/w/') AND split_part(path, '/', 4) NOT IN ({quoted(EXCLUDED_DIRS)}) AND regexp_extract(path, '[.][^.]+$') NOT IN ({quoted(EXCLUDED_EXTENSIONS)})"""
+)
+def watch_filter(spark, d):
+    folder = "element_at(array('src', 'node_modules', 'dist', 'lib'), cast(doc_id % 4 + 1 as int))"
+    ending = "element_at(array('.py', '.pyc', '.png', '.ts'), cast(doc_id div 4 % 4 + 1 as int))"
+    events = table(spark, d, "documents").selectExpr("doc_id", f"concat('/w/', source, '/', {folder}, '/f', doc_id, {ending}) AS path")
+    return watched(events, "/w").select("doc_id")
+
+
+@query(f"WITH {DETECT_SQL} SELECT * FROM detected WHERE contains(name, 'proj') AND (type = 'frontend' OR NOT EXISTS (SELECT 1 FROM detected WHERE contains(name, 'proj') AND type = 'frontend'))")
+def project_filter(spark, d):
+    return workspace.chosen(workspace.detect(_files(spark, d)), "Proj", "frontend")
+
+
+@query(f"WITH {DETECT_SQL} SELECT * FROM detected WHERE contains(name, 'proj')")
+def project_filter_no_such_type(spark, d):
+    return workspace.chosen(workspace.detect(_files(spark, d)), "proj", "spaceship")
+
+
+@query(f"WITH {DETECT_SQL} SELECT * FROM detected WHERE name NOT IN ('proj1', 'proj2') UNION ALL SELECT 'proj1', '/elsewhere', 'backend', 'go' UNION ALL SELECT 'new', '/new', 'unknown', 'unknown'")
+def project_edits(spark, d):
+    listed = workspace.with_project(workspace.detect(_files(spark, d)), "proj1", "/elsewhere", "backend", "go")
+    return workspace.without_project(workspace.with_project(listed, "new", "/new"), "proj2")

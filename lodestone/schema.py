@@ -18,4 +18,6 @@ CALLS = _schema("caller_chunk_id long, caller_name string, callee_name string, l
 IMPORTS = _schema("file_path string, imported_name string, module_path string")
 INHERITANCE = _schema("child_name string, parent_name string, relation string, file_path string, line int")
 VECTORS = _schema("id long, file_path string, embedding vector")
-TABLES = {"files": FILES, "chunks": CHUNKS, "symbols": SYMBOLS, "calls": CALLS, "imports": IMPORTS, "inheritance": INHERITANCE, "vectors": VECTORS}
+POSTINGS = _schema("term string, id long, file_path string, col int, pos int")
+DOC_STATS = _schema("id long, file_path string, dl int")
+TABLES = {"files": FILES, "chunks": CHUNKS, "symbols": SYMBOLS, "calls": CALLS, "imports": IMPORTS, "inheritance": INHERITANCE, "vectors": VECTORS, "postings": POSTINGS, "doc_stats": DOC_STATS}

@@ -30,6 +30,15 @@ def allowed(path: Column, size: Column | None = None) -> Column:
     return out if size is None else out & (size <= MAX_FILE_BYTES)
 
 
+def taken(path: str, size: int) -> bool:
+    """``allowed`` for the lister, which drops a file before anything opens it."""
+    *_, base = parts = path.split("/")
+    stem, _, ending = base.rpartition(".")
+    if not EXCLUDED_DIRS_SET.isdisjoint(parts) or base in EXCLUDED_NAMES or size > MAX_FILE_BYTES:
+        return False
+    return not (stem and f".{ending}".lower() in EXCLUDED_EXTENSIONS) and not base.endswith(tuple(e for e in EXCLUDED_EXTENSIONS if len(e) > 4))
+
+
 def ignore_rules(text: str) -> list[tuple[str, bool]]:
     """(regex, ignored) of an ignore file's lines, in order; the last that matches a path decides."""
     rules = []
@@ -75,23 +84,28 @@ def strip_scheme(path: Column) -> Column:
     return F.regexp_replace(path, "^[a-zA-Z0-9]+:/+", "/")
 
 
+EXCLUDED_DIRS_SET = frozenset(EXCLUDED_DIRS)
+
+
 class TreeReader(DataSourceReader):
     """Lists a tree once and reads it in slices of about SLICE_BYTES, or of SLICE_FILES files."""
 
     SLICE_BYTES, SLICE_FILES = 64 << 20, 2000
 
-    def __init__(self, root: str, content: bool):
-        self.root, self.content = root, content
+    def __init__(self, root: str, content: bool, every: bool = True):
+        self.root, self.content, self.every = root, content, every
 
     def partitions(self) -> list[InputPartition]:
         store, base = _store(self.root)
         found = [f for f in store.get_file_info(fs.FileSelector(base, recursive=True)) if f.type == fs.FileType.File]
-        out, rows, size = [], [], 0
+        out, rows, size, cut = [], [], 0, len(base.rstrip("/")) + 1
         for f in sorted(found, key=lambda f: f.path):
+            if not self.every and not taken(f.path[cut:], f.size):
+                continue
             if rows and (size + f.size > self.SLICE_BYTES or len(rows) >= self.SLICE_FILES):
                 out.append(InputPartition(rows))
                 rows, size = [], 0
-            rows.append((f.path, f.path[len(base.rstrip("/")) + 1 :], f.size, f.mtime))
+            rows.append((f.path, f.path[cut:], f.size, f.mtime))
             size += f.size if self.content else 0
         return [*out, InputPartition(rows)]
 
@@ -107,7 +121,7 @@ class TreeReader(DataSourceReader):
 
 class TreeSource(DataSource):
     """``spark.read.format("filetree").load(root)``: all files, with names that begin with ``.`` or ``_`` as well, which
-    Spark's own file sources hide.  Options: ``content`` (true; false lists only)."""
+    Spark's own file sources hide.  Options: ``content`` (true; false lists only), ``every`` (true; false leaves out what no scan takes)."""
 
     @classmethod
     def name(cls) -> str:
@@ -117,17 +131,17 @@ class TreeSource(DataSource):
         return "path string, modificationTime timestamp, length long, content binary"
 
     def reader(self, schema) -> TreeReader:
-        return TreeReader(self.options["path"], self.options.get("content", "true").lower() == "true")
+        return TreeReader(self.options["path"], self.options.get("content", "true").lower() == "true", self.options.get("every", "true").lower() == "true")
 
 
 def _store(root: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), os.path.abspath(root))
 
 
-def files(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
-    """(path, modificationTime, length, content) of all files; ``path`` is relative to ``root``."""
+def files(spark: SparkSession, root: str, content: bool = True, every: bool = True) -> DataFrame:
+    """(path, modificationTime, length, content) of all files, or of those that a scan may take; ``path`` is relative to ``root``."""
     spark.dataSource.register(TreeSource)
-    return spark.read.format("filetree").option("content", str(content).lower()).load(root)
+    return spark.read.format("filetree").option("content", str(content).lower()).option("every", str(every).lower()).load(root)
 
 
 def scan(spark: SparkSession, root: str, ignore_text: str | None = None) -> DataFrame:
@@ -137,7 +151,7 @@ def scan(spark: SparkSession, root: str, ignore_text: str | None = None) -> Data
     """
     if ignore_text is None:
         ignore_text = _root_ignore(root)
-    found = files(spark, root).where(allowed(F.col("path"), F.col("length")))
+    found = files(spark, root, every=False).where(allowed(F.col("path"), F.col("length")))
     rules = ignore_rules(ignore_text)
     if rules:
         found = found.where(~ignored(F.col("path"), rules))

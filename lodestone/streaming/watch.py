@@ -22,7 +22,8 @@ def sessions(events: DataFrame, *, key: str = "project", ts: str = "ts", path: s
     events = events.withColumn("__ts", F.col(ts).cast("timestamp"))
     if late is not None:
         events = events.withWatermark("__ts", late)
-    paths = F.approx_count_distinct(path) if events.isStreaming else F.count_distinct(path)
+    # streams have no distinct aggregate; the set is that of one session
+    paths = F.size(F.collect_set(path)).cast("long") if events.isStreaming else F.count_distinct(path)
     out = events.groupBy(F.col(key), F.session_window("__ts", quiet).alias("w")).agg(F.count("*").alias("n_events"), paths.alias("n_paths"))
     return out.select(key, F.col("w.start").alias("first_ts"), F.col("w.end").alias("flush_ts"), "n_events", "n_paths")
 
@@ -32,16 +33,24 @@ def pending(events: DataFrame, *, ts: str = "ts", path: str = "path", late: str
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark([path])
 
 
+def seconds(quiet: str) -> float:
+    """Of "5 seconds", "1 minute", "2 hours"."""
+    number, unit = quiet.split()
+    return float(number) * {"second": 1, "minute": 60, "hour": 3600}[unit.rstrip("s")]
+
+
 class Watchers:
     """Running watchers by project; starting one twice has no effect."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.running: dict[str, StreamingQuery] = {}
+        self.timers: dict[str, threading.Timer] = {}
         self.lock = threading.Lock()
 
     def start(self, root: str, reindex: Callable[[], None], checkpoint: str, quiet: str = QUIET) -> bool:
-        """Watch the files below ``root``; True if it was not watched before.  Deletions show when ``reindex`` lists the tree."""
+        """Watch the files below ``root``; True if it was not watched before.  Every batch with events restarts the quiet period, and
+        ``reindex`` runs when it ends.  Deletions show when ``reindex`` lists the tree."""
         with self.lock:
             if root in self.running and self.running[root].isActive:
                 return False
@@ -51,14 +60,21 @@ class Watchers:
 
             def flush(batch: DataFrame, _: int) -> None:
                 if not watched(batch, root).isEmpty():
-                    reindex()
-
-            self.running[root] = files.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(processingTime=quiet).start()
+                    with self.lock:
+                        if (old := self.timers.get(root)) is not None:
+                            old.cancel()
+                        self.timers[root] = threading.Timer(seconds(quiet), reindex)
+                        self.timers[root].daemon = True
+                        self.timers[root].start()
+
+            self.running[root] = files.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint).trigger(processingTime="1 second").start()
             return True
 
     def stop(self, root: str) -> bool:
         with self.lock:
-            query = self.running.pop(root, None)
-            if query is not None:
-                query.stop()
-            return query is not None
+            query, timer = self.running.pop(root, None), self.timers.pop(root, None)
+        if timer is not None:
+            timer.cancel()
+        if query is not None:
+            query.stop()  # outside the lock, which a batch may be waiting for
+        return query is not None

@@ -34,6 +34,7 @@ SOURCES = {
     "n.py": ("import os.path\nfrom m import a as b, c\nfrom . import d\n\n\n@deco\ndef f(x):\n    return g(os.path.join(x))\n\n\nclass K(Base, object, m.Other):\n    def run(self):\n        \"\"\"é\"\"\"\n        return self.f(x)\n",
              {"f": "decorated_definition", "K": "class_definition"}, {"f", "K", "run"}, {("f", "g"), ("f", "join"), ("run", "f")}, {("path", "os.path"), ("a", "m"), ("c", "m"), ("d", ".")}, {("K", "Base", "extends"), ("K", "m.Other", "extends")}),
 }
+from pyspark.sql import functions as F
 
 
 @pytest.mark.parametrize("name", SOURCES)
@@ -118,3 +119,17 @@ def test_incremental(spark):
     assert {(r["path"], r["status"]) for r in incremental.diff(now, was).collect()} == {("a", "same"), ("b", "changed"), ("c", "same"), ("d", "removed"), ("e", "added")}
     assert incremental.summary(now, was).first().asDict() == {"indexed": 2, "skipped": 2, "removed": 1}
     assert {r["path"] for r in incremental.needs_update(now, was).collect()} == {"b", "e"} and [r["path"] for r in incremental.removed(now, was).collect()] == ["d"]
+
+
+def test_excluded_files_are_not_opened(spark, tmp_path):
+    """The lister leaves out what the filter on rows would drop, so nothing reads it."""
+    from lodestone.sources.tree import MAX_FILE_BYTES, TreeReader, allowed, files, scan
+
+    names = ["a.py", "node_modules/x.py", "b.PNG", "lib/c.min.js", "d.js", ".env", ".lock", "noext", "dist", "e/build/f.ts", "big.py"]
+    for n in names:
+        at = tmp_path / n
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text("x" * (MAX_FILE_BYTES + 1 if n == "big.py" else 3))
+    want = sorted(r["path"] for r in files(spark, str(tmp_path), content=False).where(allowed(F.col("path"), F.col("length"))).collect())
+    assert sorted(row[1] for part in TreeReader(str(tmp_path), True, False).partitions() for row in part.value) == want
+    assert sorted(r["path"] for r in scan(spark, str(tmp_path)).collect()) == want and "a.py" in want and "big.py" not in want

@@ -149,3 +149,25 @@ def test_workspace(engine, tmp_path):
     assert {p["name"] for p in added["projects"]} == {"web-app", "shared-lib", "extra"}
     with pytest.raises(ValueError):
         engine.rag_projects_add(str(root), "bad", str(root / "missing"))
+
+
+def test_stored_postings_follow_the_files(engine, project):
+    from lodestone.index import COLUMNS
+    from lodestone.operators import search
+
+    steps = []
+    engine.rag_index(project, progress=lambda done, of, message: steps.append((done, of)))
+    assert steps == [(k, 4) for k in range(1, 5)]
+    with open(os.path.join(project, "utils.py"), "a") as f:
+        f.write("\n\ndef validated(emails):\n    return [validate_email(e) for e in emails]\n")
+    os.remove(os.path.join(project, "pkg", "__init__.py"))
+    engine.rag_index(project)
+    index = engine.index_of(project)
+    chunks = index.table("chunks")
+    for question in ("validate email", "handle_error", "multiply"):
+        scores = [
+            sorted((r["id"], round(r["score"], 9)) for r in search.bm25(chunks, COLUMNS, question, 20, stem=True, **more).collect())
+            for more in ({}, {"index": index.table("postings"), "stats": index.table("doc_stats")})
+        ]
+        assert scores[0] == scores[1] and scores[0]
+    assert index.table("doc_stats").count() == chunks.count()

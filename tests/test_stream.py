@@ -35,3 +35,20 @@ def test_watcher_reindexes_on_new_files_and_starts_once(spark, tmp_path):
     time.sleep(3)
     assert len(calls) == n
     assert watchers.stop(str(root)) and not watchers.stop(str(root))
+
+
+def test_quiet_period_restarts(spark, tmp_path):
+    """Files that keep coming hold the re-index back until they stop."""
+    root = tmp_path / "code"
+    root.mkdir()
+    calls, watchers = [], Watchers(spark)
+    (root / "a0.py").write_text("x = 1\n")
+    assert watchers.start(str(root), lambda: calls.append(time.time()), str(tmp_path / "state"), "6 seconds")
+    for k in range(1, 5):
+        time.sleep(2)
+        (root / f"a{k}.py").write_text("x = 1\n")
+    last = time.time()
+    while not calls and time.time() < last + 40:
+        time.sleep(0.2)
+    watchers.stop(str(root))
+    assert len(calls) == 1 and calls[0] >= last + 5
