@@ -9,7 +9,8 @@ Each input partition reports the sorted positions of its set bits by filter segm
 are (``filters.twice_seen``); the twice-seen filter (bits / 8 bytes, whatever the corpus) is broadcast.
 
 Null and empty texts are one empty line.  Keys of fewer than ``min_chars`` code points are never dropped.  Repeated
-rows are documents of their own.  A key counts once per document.
+rows are documents of their own, also where they share an id (``OP6_SQL`` counts ids).  A key counts once per document.  Output columns
+win over kept ones of their name, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ from pyspark.sql import types as T
 from .base import TEXT, cut, map_texts, small_batches
 from .filters import has_bit, twice_seen
 
+#: Keys that a task counts before it passes them on.
+HELD = 200_000
+#: Bytes that a broadcast key takes in a worker.
+KEY_BYTES = 160
 STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -77,6 +82,13 @@ def hot_keys(docs: DataFrame, *, id_col: str, text_col: str, min_docs: int, min_
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
         first: dict[bytes, object] = {}
+
+        def counted() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64()), pa.array([first[k] for k in seen], kind)], names=["key", "n", "first"])
+            seen.clear()
+            first.clear()
+            return out
+
         for batch in batches:
             kind = batch.column("id").type
             for doc, t in zip(batch.column("id").to_pylist(), batch.column(TEXT), strict=True):
@@ -85,8 +97,10 @@ def hot_keys(docs: DataFrame, *, id_col: str, text_col: str, min_docs: int, min_
                     old = first.get(key)
                     if old is None or doc is not None and doc < old:
                         first[key] = doc
+            if len(seen) >= HELD:
+                yield counted()
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64()), pa.array([first[k] for k in seen], kind)], names=["key", "n", "first"])
+            yield counted()
 
     schema = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("first", source.schema["id"].dataType)])
     counted = source.mapInArrow(count, schema).groupBy("key").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
@@ -112,7 +126,7 @@ def drop_common_lines(
     """Kept columns, ``text`` without the lines of common keys, ``n_lines`` and ``n_dropped``.
 
     A key is common if at least ``min_docs`` documents have it.  With ``keep_first`` the document of the smallest id
-    keeps its first line of each common key.  The common keys are broadcast up to ``broadcast_bytes`` (at 40 bytes a key); more
+    keeps its first line of each common key.  The common keys are broadcast up to ``broadcast_bytes`` (at KEY_BYTES a key); more
     of them are joined to the suspected lines instead, and each document then carries only its own common keys.
     """
     spark = docs.sparkSession
@@ -136,7 +150,8 @@ def drop_common_lines(
         return [pa.array([t.decode("utf-8", "replace") for t in texts], pa.string()), list(n), list(dropped)]
 
     docs = docs.withColumn("__id", F.col(id_col))
-    if hot.count() * 40 <= broadcast_bytes:
+    if hot.count() * KEY_BYTES <= broadcast_bytes:
+        packed.destroy()
         common = spark.sparkContext.broadcast({bytes(r["key"]): r["first"] for r in hot.toLocalIterator()})
 
         def apply(texts: list[bytes], batch: pa.RecordBatch) -> list:
