@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import threading
 from collections.abc import Callable
@@ -12,21 +11,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
 from .index import COLUMNS, Index
 from .operators import changes, graph, routing, search, workspace
-from .settings import Settings
 from .sources import tree, vcs
 from .streaming.watch import Watchers
 
 
-
 def rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, settings: Settings | None = None, encoder=None):
-        self.spark, self.settings, self.encoder = spark, settings or Settings(), encoder
+    """``folder`` holds the indexes and project lists (else the session's, see ``store``); ``encoder`` turns a batch of texts into vectors;
+    a search waits at most ``wait`` seconds for a project's first index."""
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, encoder=None, wait: float = 60.0):
+        self.spark, self.folder, self.encoder, self.wait = spark, folder or store.default(spark), encoder, wait
         self.watchers = Watchers(spark)
         self.pool = ThreadPoolExecutor(4)
         self.jobs: dict[str, Future] = {}
@@ -34,7 +35,8 @@ class Engine:
         self.lock = threading.Lock()
 
     def index_of(self, root: str) -> Index:
-        return Index(self.spark, os.path.abspath(root), self.settings, encoder=self.encoder)
+        root = os.path.abspath(root)
+        return Index(self.spark, root, store.of_project(self.folder, root), self.encoder)
 
     # ------------------------------------------------------------ indexing
 
@@ -54,7 +56,7 @@ class Engine:
                     return None
                 job = self.jobs[root] = self.pool.submit(self.index_of(root).update)
         try:
-            result = job.result(self.settings.index_wait if wait is None else wait)
+            result = job.result(self.wait if wait is None else wait)
         except TimeoutError:
             return {"status": "in_progress", "project_path": root}
         except Exception as e:
@@ -176,25 +178,20 @@ class Engine:
         return near.join(packages.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content")), "path", "left")
 
     def _workspace_file(self, path: str) -> str:
-        return f"{self.settings.data_dir}/workspaces/{self.settings.project_key(path)}/workspace.json"
+        return f"{store.of_project(f'{self.folder}/workspaces', path)}/workspace.json"
 
     def rag_projects(self, path: str) -> dict:
         """The saved list; detected, and saved, where there is none or it can't be read."""
         file = self._workspace_file(path)
         try:
-            with open(file) as f:
-                found = json.load(f)
-        except (OSError, ValueError):
+            found = store.read_json(file)
+        except ValueError:
+            found = None
+        if found is None:
             found = rows(workspace.detect(self._files(path), os.path.abspath(path)))
-            self._save(file, found)
+            store.write_json(file, found)
         return {"projects": found, "is_monorepo": rows(workspace.is_monorepo(self._files(path)))[0]["is_monorepo"]}
 
-    def _save(self, file: str, projects: list[dict]) -> None:
-        os.makedirs(os.path.dirname(file), exist_ok=True)
-        with open(f"{file}.new", "w") as f:
-            json.dump(projects, f)
-        os.replace(f"{file}.new", file)
-
     def _listed(self, path: str) -> DataFrame:
         found = self.rag_projects(path)["projects"]
         return self.spark.createDataFrame([(p["name"], p["path"], p["type"], p["language"]) for p in found], workspace.PROJECT)
@@ -203,7 +200,7 @@ class Engine:
         if not os.path.isdir(project_path):
             raise ValueError(f"Not a directory: {project_path}")
         kept = rows(workspace.with_project(self._listed(path), name, os.path.abspath(project_path), kind, language))
-        self._save(self._workspace_file(path), kept)
+        store.write_json(self._workspace_file(path), kept)
         return {"projects": kept}
 
     def rag_projects_remove(self, path: str, name: str) -> dict:
@@ -211,7 +208,7 @@ class Engine:
         kept = rows(workspace.without_project(listed, name))
         found = listed.count() > len(kept)
         if found:
-            self._save(self._workspace_file(path), kept)
+            store.write_json(self._workspace_file(path), kept)
         return {"removed": found, "projects": kept}
 
     def search_workspace(self, query: str, path: str, top_k: int = 10, project: str | None = None, path_filter: str | None = None, language: str | None = None) -> dict:

@@ -8,21 +8,21 @@ Postings (stemmed, by term) and chunk lengths are stored too, so that a search r
 
 from __future__ import annotations
 
-import json
 import time
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import store
 from .functions.vectors import encoded, hashing_encoder
 from .operators import search
 from .operators.incremental import needs_update, replaced
 from .parse.files import parsed, tables
 from .schema import TABLES
-from .settings import Settings
 from .sources.tree import scan
 
 KEYS = {"files": "path"}
@@ -31,33 +31,26 @@ COLUMNS = ["name", "content", "file_path", "chunk_type"]
 
 
 class Index:
-    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, directory: str | None = None, encoder=None):
-        self.spark, self.root, self.settings = spark, root, settings or Settings()
-        self.directory = directory or self.settings.index_dir(root)
-        self.encoder = encoder or hashing_encoder(self.settings.dim)
+    def __init__(self, spark: SparkSession, root: str, directory: str | None = None, encoder=None):
+        self.spark, self.root = spark, root
+        self.directory = directory or store.of_project(store.default(spark), root)
+        self.encoder = encoder or hashing_encoder()
 
     # ------------------------------------------------------------ versions
 
     def _store(self) -> tuple[fs.FileSystem, str]:
-        return fs.FileSystem.from_uri(self.directory) if "://" in self.directory else (fs.LocalFileSystem(), self.directory)
+        return store.opened(self.directory)
 
     def meta(self) -> dict:
         """What the pointer file says; {} if nothing is indexed."""
-        store, base = self._store()
-        if store.get_file_info(f"{base}/current.json").type != fs.FileType.File:
-            return {}
-        with store.open_input_stream(f"{base}/current.json") as f:
-            return json.loads(f.read())
+        return store.read_json(f"{self.directory}/current.json") or {}
 
     def _swap(self, meta: dict) -> None:
-        store, base = self._store()
-        store.create_dir(base, recursive=True)
-        temp, old = f"{base}/.{uuid.uuid4().hex}", self.meta()
-        with store.open_output_stream(temp) as f:
-            f.write(json.dumps(meta | {"before": old.get("version")}).encode())
-        store.move(temp, f"{base}/current.json")
+        old = self.meta()
+        store.write_json(f"{self.directory}/current.json", meta | {"before": old.get("version")})
         if old.get("before"):  # the version just replaced stays for its readers
-            store.delete_dir(f"{base}/{old['before']}")
+            files, base = self._store()
+            files.delete_dir(f"{base}/{old['before']}")
 
     def table(self, name: str) -> DataFrame:
         version = self.meta().get("version")
@@ -70,9 +63,9 @@ class Index:
         return bool(self.meta())
 
     def reset(self) -> None:
-        store, base = self._store()
-        if store.get_file_info(base).type == fs.FileType.Directory:
-            store.delete_dir_contents(base)
+        files, base = self._store()
+        if files.get_file_info(base).type == fs.FileType.Directory:
+            files.delete_dir_contents(base)
 
     # ------------------------------------------------------------ indexing
 
@@ -90,8 +83,8 @@ class Index:
             if progress is not None:
                 progress(done, steps, message)
 
-        store, base = fs.FileSystem.from_uri(self.root) if "://" in self.root else (fs.LocalFileSystem(), self.root)
-        if store.get_file_info(base).type != fs.FileType.Directory:
+        files, base = store.opened(self.root)
+        if files.get_file_info(base).type != fs.FileType.Directory:
             raise ValueError(f"Not a directory: {self.root}")
         if force:
             self.reset()
@@ -105,7 +98,7 @@ class Index:
         out = {"indexed": n_changed, "skipped": n_all - n_changed, "removed": n_gone, "chunks": 0}
         told(f"{n_all} files listed, {n_changed} to index")
         if n_changed or n_gone or not self.exists:
-            rows = parsed(changed, self.settings).persist()
+            rows = parsed(changed).persist()
             new = tables(rows)
             new["files"] = changed.select("path", "hash", F.current_timestamp().alias("last_indexed"))
             stale = gone.unionByName(changed.select("path"))
@@ -124,7 +117,7 @@ class Index:
             replaced(self.table("doc_stats"), stats, stale).write.parquet(f"{target}/doc_stats")
             told("postings written")
             rows.unpersist()
-            self._swap({"version": version, "root": self.root, "dim": self.settings.dim, "last_indexed": time.time()})
+            self._swap({"version": version, "root": self.root, "dim": len(self.encoder(pd.Series([""]))[0]), "last_indexed": time.time()})
         for df in (current, changed, gone):
             df.unpersist()
         return out | {"duration": round(time.time() - began, 3)}
@@ -133,8 +126,8 @@ class Index:
         meta = self.meta()
         if not meta:
             return {"status": "not_indexed", "project_path": self.root}
-        store, base = self._store()
-        size = sum(f.size or 0 for f in store.get_file_info(fs.FileSelector(f"{base}/{meta['version']}", recursive=True)))
-        files = self.table("files").agg(F.count("*").alias("total_files"), F.max("last_indexed").alias("last_indexed")).first()
+        files, base = self._store()
+        size = sum(f.size or 0 for f in files.get_file_info(fs.FileSelector(f"{base}/{meta['version']}", recursive=True)))
+        known = self.table("files").agg(F.count("*").alias("total_files"), F.max("last_indexed").alias("last_indexed")).first()
         counts = {f"total_{n}": self.table(n).count() for n in ("chunks", "symbols", "calls", "imports", "inheritance")}
-        return {"status": "ready", "project_path": self.root, "total_files": files["total_files"], "last_indexed": str(files["last_indexed"]), "vector_count": self.table("vectors").count(), "size_mb": round(size / 2**20, 2), **counts}
+        return {"status": "ready", "project_path": self.root, "total_files": known["total_files"], "last_indexed": str(known["last_indexed"]), "vector_count": self.table("vectors").count(), "size_mb": round(size / 2**20, 2), **counts}

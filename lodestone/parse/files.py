@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..settings import HEADER_PREFIXES, LANGUAGES, Settings
+from ..settings import HEADER_PREFIXES, LANGUAGES, WINDOW_LINES, WINDOW_OVERLAP
 from . import lexical, python_source
 
 ROW = "tag string, file_path string, name string, other string, kind string, line int, start_line int, end_line int, byte_start long, byte_end long, language string, content string"
@@ -45,7 +45,7 @@ def line_windows(text: str, size: int, overlap: int) -> Iterator[tuple[int, int,
         at += step
 
 
-def parse(path: str, text: str, size: int = 60, overlap: int = 10) -> list[dict]:
+def parse(path: str, text: str, size: int = WINDOW_LINES, overlap: int = WINDOW_OVERLAP) -> list[dict]:
     """Rows of one file: tag chunk, symbol, call, import or base."""
     ext = os.path.splitext(path)[1].lower()
     language = lexical.BY_EXTENSION.get(ext)
@@ -86,10 +86,8 @@ def parse(path: str, text: str, size: int = 60, overlap: int = 10) -> list[dict]
     return rows
 
 
-def parsed(files: DataFrame, settings: Settings | None = None) -> DataFrame:
+def parsed(files: DataFrame, size: int = WINDOW_LINES, overlap: int = WINDOW_OVERLAP) -> DataFrame:
     """Tagged rows of all (path, text) files; a file that can't be read gives none."""
-    s = settings or Settings()
-    size, overlap = s.chunk_lines, s.chunk_overlap
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

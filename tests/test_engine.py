@@ -4,7 +4,7 @@ import subprocess
 import pytest
 
 from lodestone.engine import Engine
-from lodestone.settings import Settings
+from lodestone.functions.vectors import hashing_encoder
 
 MAIN = '''
 import utils
@@ -62,7 +62,7 @@ def project(tmp_path):
 
 @pytest.fixture
 def engine(spark, tmp_path):
-    return Engine(spark, Settings(data_dir=str(tmp_path / "data"), dim=64))
+    return Engine(spark, str(tmp_path / "data"), hashing_encoder(64))
 
 
 def test_index_search_graph(engine, project):
@@ -171,3 +171,14 @@ def test_stored_postings_follow_the_files(engine, project):
         ]
         assert scores[0] == scores[1] and scores[0]
     assert index.table("doc_stats").count() == chunks.count()
+
+
+def test_the_store_is_in_the_warehouse_or_where_the_session_says(spark):
+    from lodestone import store
+
+    assert store.default(spark) == spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") + "/lodestone"
+    try:
+        spark.conf.set(store.CONF, "s3://bucket/place/")
+        assert store.default(spark) == "s3://bucket/place"
+    finally:
+        spark.conf.unset(store.CONF)
